@@ -47,9 +47,6 @@ NUKTA = tuple((chr(c), unicodedata.normalize("NFD", chr(c)))
 LIGATURES = tuple((chr(c), unicodedata.normalize("NFKC", chr(c))) for c in range(0xFB00, 0xFB07))
 #: Full-width forms, by offset.
 FULLWIDTH = tuple((chr(c), chr(c - 0xFEE0)) for c in range(0xFF01, 0xFF5F))
-#: Precomposed Latin letters and their base letter, by decomposition rule.
-BASE_LETTER = tuple((chr(c), d[0]) for c in range(0xC0, 0x250)
-                    if len(d := unicodedata.normalize("NFD", chr(c))) > 1)
 
 
 def _pairs(*groups: tuple) -> tuple[str, str]:
@@ -59,7 +56,6 @@ def _pairs(*groups: tuple) -> tuple[str, str]:
 
 _SPACES = tuple((c, " ") for c in WIDE_SPACES)
 LOOK_FROM, LOOK_TO = _pairs(LOOKALIKE, FULLWIDTH, _SPACES)
-BARE_FROM, BARE_TO = _pairs(LOOKALIKE, FULLWIDTH, _SPACES, BASE_LETTER)
 
 
 def look_form(c: Column) -> Column:
@@ -73,14 +69,6 @@ def look_form(c: Column) -> Column:
     return out
 
 
-def bare_form(c: Column) -> Column:
-    """look_form in lower case with accents of Latin letters taken off; for matching words of long texts."""
-    out = F.translate(F.lower(F.translate(c, BARE_FROM + INVISIBLE, BARE_TO)), "".join(map(chr, range(0x300, 0x370))), "")
-    for a, b in (*LIGATURES, *NUKTA, *SEQUENCES):
-        out = F.replace(out, F.lit(a), F.lit(b))
-    return out
-
-
 _MAP = str.maketrans(dict(zip(LOOK_FROM, LOOK_TO)) | dict.fromkeys(INVISIBLE))
 _PUNCT = re.compile(r"[^\w\sऀ-ॣ०-ॿ̀-ͯ]|_")
 

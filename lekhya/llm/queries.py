@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lekhya.llm import copies, encoding, frequency, lookalikes, repetition
+from lekhya.llm import consensus, copies, encoding, frequency, leakage, lookalikes, mixing, repetition
 from lekhya.llm.run import spread, table
 
 Q3, TASK, FINAL, Q2, DOCS = "q3_low_confidence_samples", "task_records", "final_examples", "q2_examples", "documents"
@@ -72,6 +72,23 @@ def p4_consistent(spark: SparkSession, d: str) -> DataFrame:
     return lookalikes.consistent(q3, "sample_id", "recording_id", ["word", "normalized_word"])
 
 
+def _consensus(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    _, task = _sound(spark, d)
+    return consensus.consensus(spread(task))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return _consensus(spark, d)[0].where("differs").select("utterance_id")
+
+
+def p5_consensus(spark: SparkSession, d: str) -> DataFrame:
+    return _consensus(spark, d)[0]
+
+
+def p5_reliability(spark: SparkSession, d: str) -> DataFrame:
+    return _consensus(spark, d)[1]
+
+
 def _terms(spark: SparkSession, d: str) -> DataFrame:
     q3, task = table(spark, d, Q3), table(spark, d, TASK)
     a = frequency.mark(frequency.count_terms(frequency.values(q3, "word")), q3.count(), 1 / 200)
@@ -87,7 +104,23 @@ def p6_terms(spark: SparkSession, d: str) -> DataFrame:
     return _terms(spark, d)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_copies, p2_found, p2_restored, p3_found, p3_repetition, p4_found, p4_consistent, p6_found, p6_terms)}
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(spread(table(spark, d, DOCS)), table(spark, d, "eval_items"))
+
+
+def _mixture(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mixture(mixing.sized_documents(spread(table(spark, d, DOCS))), table(spark, d, "mix_targets"))
+
+
+def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return _mixture(spark, d)
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.shares(_mixture(spark, d), table(spark, d, "mix_targets"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_copies, p2_found, p2_restored, p3_found, p3_repetition, p4_found, p4_consistent, p5_found, p5_consensus, p5_reliability, p6_found, p6_terms, p7_found, p8_mixture, p8_shares)}
 
 _CANON = r"regexp_replace(lower({0}), '[\p{{P}} \t\n\v\f\r]+', '', 'g')"
 _PAIRS = f"""select recording_id, sample_id, word, normalized_word,

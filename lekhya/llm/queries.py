@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lekhya.llm import consensus, copies, encoding, frequency, leakage, lookalikes, mixing, repetition
+from lekhya.llm import consensus, copies, encoding, frequency, leakage, lookalikes, mixing, repetition, subjects
 from lekhya.llm.run import spread, table
 
 Q3, TASK, FINAL, Q2, DOCS = "q3_low_confidence_samples", "task_records", "final_examples", "q2_examples", "documents"
@@ -120,7 +120,16 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(_mixture(spark, d), table(spark, d, "mix_targets"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_copies, p2_found, p2_restored, p3_found, p3_repetition, p4_found, p4_consistent, p5_found, p5_consensus, p5_reliability, p6_found, p6_terms, p7_found, p8_mixture, p8_shares)}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.subjects_of(spread(table(spark, d, DOCS)), table(spark, d, "subject_examples")).select("doc_id", "subject")
+
+
+def p9_composition(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, DOCS)
+    return subjects.composition(subjects.subjects_of(spread(docs), table(spark, d, "subject_examples")), docs.count())
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_copies, p2_found, p2_restored, p3_found, p3_repetition, p4_found, p4_consistent, p5_found, p5_consensus, p5_reliability, p6_found, p6_terms, p7_found, p8_mixture, p8_shares, p9_found, p9_composition)}
 
 _CANON = r"regexp_replace(lower({0}), '[\p{{P}} \t\n\v\f\r]+', '', 'g')"
 _PAIRS = f"""select recording_id, sample_id, word, normalized_word,

@@ -37,7 +37,7 @@ from lekhya.llm.run import cut
 WIDTH, GRAM, GRAM_SHARE = 8, 6, 0.1
 #: A document has a subject from this share of its sentences; words of the window where there are no sentences.
 SHARE, WINDOW = 0.25, 9
-#: A word in a share p of the sample's documents weighs COMMON / (COMMON + p).
+#: A word in a share p of all documents weighs COMMON / (COMMON + p).
 COMMON = 0.1
 #: Bounds of what is trained on: labelled rows, documents (expected number, by hash of the id).
 MAX_EXAMPLES, SAMPLE_DOCUMENTS = 20_000, 3_000
@@ -99,8 +99,18 @@ def parts(word: str) -> list[tuple[str, float]]:
     return [(word, main), (r, main), *((g, GRAM_SHARE / len(grams)) for g in grams)]
 
 
+class _Forms(dict):
+    """Token to its words."""
+
+    def __missing__(self, token: str) -> list[str]:
+        w = self[token] = same_words(token)
+        return w
+
+
 def least(documents: int) -> int:
-    """Documents of the sample that a word outside the examples must be in; n-grams are taken from such words only."""
+    """Documents that a word outside the examples must be in; n-grams are taken from such words only.
+
+    As a share of all documents it bounds the vocabulary however large the corpus is."""
     return max(3, documents // 300)
 
 
@@ -115,7 +125,7 @@ def sentences(text: str) -> list[list[str]]:
 
 @dataclass
 class Vocabulary:
-    share: dict[str, float]  # of the sample's documents that have the word
+    share: dict[str, float]  # of all documents that have the word
     part: dict[str, int]  # number of each part of these words
 
     @classmethod
@@ -354,17 +364,21 @@ def learn(docs: DataFrame, examples: DataFrame, id_col: str = "doc_id", text_col
 
     def words(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         df: Counter = Counter()
+        forms = _Forms()
         for pdf in frames:
-            for label, t in zip(pdf["label"], pdf["t"]):
-                for w in {w for s in sentences(t) for w in s}:
-                    df[w, label is not None] += 1
-        yield pd.DataFrame([(w, n, g) for (w, g), n in df.items()], columns=["w", "n", "given"])
-
-    counted = split.mapInPandas(words, "w string, n long, given boolean").groupBy("w").agg(F.sum(F.when(~F.col("given"), F.col("n")).otherwise(0)).alias("n"), F.max("given").alias("given"))
-    # names and the like, in very few documents of the sample, say nothing
-    documents = split.where("label is null").count()
-    counts = counted.where(F.col("given") | (F.col("n") >= least(documents))).orderBy("w").collect()
-    vocabulary = Vocabulary.of([(r["w"], r["n"]) for r in counts], documents)
+            for t in pdf["t"]:
+                df.update({w for token in set(t.split()) for w in forms[token]})
+            if len(df) > 500_000:  # bounds the memory of a worker
+                yield pd.DataFrame(df.items(), columns=["w", "n"])
+                df.clear()
+                forms.clear()
+        yield pd.DataFrame(df.items(), columns=["w", "n"])
+
+    # how many of all documents have a word; names and the like, in very few of them, say nothing
+    common = texts.select("t").mapInPandas(words, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
+    in_examples = given.select("t").mapInPandas(words, "w string, n long").select("w").distinct().withColumn("given", F.lit(True))
+    counts = common.join(F.broadcast(in_examples), "w", "left").where(F.col("given") | (F.col("n") >= least(n))).orderBy("w").collect()
+    vocabulary = Vocabulary.of([(r["w"], r["n"]) for r in counts], n)
     sent = docs.sparkSession.sparkContext.broadcast((vocabulary, number))
 
     def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

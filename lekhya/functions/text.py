@@ -83,8 +83,8 @@ def utterance_tokens(c: Column) -> Column:
 
 
 def comparison_tokens(c: Column) -> Column:
-    """Tokens without punctuation (anything but letters, marks, digits, Devanagari)."""
-    return words(squeeze(F.regexp_replace(normalize_spaces(c), r"(?U)[^\w\sऀ-ॿ]", " ")))
+    """Tokens of ASCII letters and digits and of Devanagari; all else separates them."""
+    return words(squeeze(F.regexp_replace(normalize_spaces(c), r"[^0-9A-Za-z\u0900-\u097F]", " ")))
 
 
 def content_characters(c: Column) -> Column:

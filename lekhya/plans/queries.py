@@ -65,7 +65,7 @@ def tokens_sql(c: str) -> str:
 
 
 def comparison_sql(c: str) -> str:
-    return tokens_sql(squeeze_sql(f"regexp_replace({spaces_sql(c)}, '[^\\p{{L}}\\p{{M}}\\p{{N}}_\\s\\x{{900}}-\\x{{97F}}]', ' ', 'g')"))
+    return tokens_sql(squeeze_sql(f"regexp_replace({spaces_sql(c)}, '[^0-9A-Za-z\\x{{900}}-\\x{{97F}}]', ' ', 'g')"))
 
 
 def utterance_sql(c: str) -> str:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -26,6 +27,12 @@ def blank(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
+def once(f: Callable[..., Column], *values: Column) -> Column:
+    """f(values) with each value worked out once per row, however often, or inside which lambda, f uses it."""
+    held = F.array(F.struct(*[v.alias(f"v{i}") for i, v in enumerate(values)]))
+    return F.get(F.transform(held, lambda s: f(*[s[f"v{i}"] for i in range(len(values))])), F.lit(0))
+
+
 def nfkc(c: Column) -> Column:
     """Compatibility normal form. Only texts beyond ASCII cross to Python; the rest pass as nulls."""
     return F.coalesce(_nfkc(F.when(~c.rlike(ASCII), c)), c)
@@ -94,8 +101,12 @@ def content_characters(c: Column) -> Column:
 
 def dominant_fraction(tokens: Column) -> Column:
     """Share of the most frequent token; 0 without tokens."""
-    most = F.array_max(F.transform(F.array_distinct(tokens), lambda t: F.size(F.filter(tokens, lambda x: x == t))))
-    return F.when(F.size(tokens) > 0, most / F.size(tokens)).otherwise(F.lit(0.0))
+
+    def share(ts: Column) -> Column:
+        most = F.array_max(F.transform(F.array_distinct(ts), lambda t: F.size(F.filter(ts, lambda x: x == t))))
+        return F.when(F.size(ts) > 0, most / F.size(ts)).otherwise(F.lit(0.0))
+
+    return once(share, tokens)
 
 
 def longest_character_run(c: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lekhya.functions.text import content_characters, dominant_fraction, longest_character_run, normalize_transcript, words
+from lekhya.functions.text import content_characters, dominant_fraction, longest_character_run, normalize_transcript, once, words
 
 # Thresholds of the gate (seconds, shares, characters per second).
 MIN_SECONDS, MAX_SECONDS = 0.35, 28.0
@@ -21,21 +21,27 @@ def audio_metrics(audio: Column) -> Column:
 
     The floor is the 0.6 quantile, linear between neighbours; a sample is active from the larger of 0.008, 2.5 times
     the floor and 0.08 times the peak."""
-    loud = F.array_sort(F.transform(audio, lambda x: F.abs(x).cast("double")))
-    n = F.size(audio)
-    at = (n - 1) * 0.6
-    low = F.floor(at).cast("int")
-    first = F.get(loud, low)
-    floor = first + (F.get(loud, F.least(low + 1, n - 1)) - first) * (at - low)
-    peak = F.coalesce(F.array_max(loud), F.lit(0.0))
-    limit = F.greatest(F.lit(0.008), floor * 2.5, peak * 0.08)
-    share = lambda keep: F.size(F.filter(loud, keep)) / n
-    sound = (n > 0) & (peak > 1e-6)
-    return F.struct(
-        F.when(sound, share(lambda x: x >= limit)).otherwise(F.lit(0.0)).alias("active"),
-        F.when(sound, share(lambda x: x >= 0.995)).otherwise(F.lit(0.0)).alias("clipped"),
-        peak.alias("peak"),
-    )
+
+    def measures(loud: Column) -> Column:
+        n = F.size(loud)
+        at = (n - 1) * 0.6
+        low = F.floor(at).cast("int")
+        first = F.get(loud, low)
+        floor = first + (F.get(loud, F.least(low + 1, n - 1)) - first) * (at - low)
+        peak = F.coalesce(F.get(loud, n - 1), F.lit(0.0))
+        return once(counted, loud, F.greatest(F.lit(0.008), floor * 2.5, peak * 0.08), peak)
+
+    def counted(loud: Column, limit: Column, peak: Column) -> Column:
+        n = F.size(loud)
+        share = lambda keep: F.size(F.filter(loud, keep)) / n
+        sound = (n > 0) & (peak > 1e-6)
+        return F.struct(
+            F.when(sound, share(lambda x: x >= limit)).otherwise(F.lit(0.0)).alias("active"),
+            F.when(sound, share(lambda x: x >= 0.995)).otherwise(F.lit(0.0)).alias("clipped"),
+            peak.alias("peak"),
+        )
+
+    return once(measures, F.array_sort(F.transform(audio, lambda x: F.abs(x).cast("double"))))
 
 
 def text_rules(text: Column, seconds: Column) -> list[tuple[str, Column]]:

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lekhya.functions.text import once
+
 #: Characters that stand for the distinct tokens of a pair.
 ALPHABET = "".join(map(chr, range(0x3400, 0xA000)))
 
@@ -16,14 +18,16 @@ def token_distance(a: Column, b: Column) -> Column:
     """Edit distance of two token arrays: each distinct token of the pair becomes one character, then levenshtein.
 
     Raises beyond 27 000 distinct tokens in a pair."""
-    vocabulary = F.array_distinct(F.concat(a, b))
     alphabet = F.lit(ALPHABET)
 
-    def encode(tokens: Column) -> Column:
-        return F.array_join(F.transform(tokens, lambda t: F.substr(alphabet, F.array_position(vocabulary, t).cast("int"), F.lit(1))), "")
+    def distance(x: Column, y: Column, vocabulary: Column) -> Column:
+        def encode(tokens: Column) -> Column:
+            return F.array_join(F.transform(tokens, lambda t: F.substr(alphabet, F.array_position(vocabulary, t).cast("int"), F.lit(1))), "")
+
+        too_many = F.raise_error(F.lit("too many distinct tokens in one pair")).cast("int")
+        return F.when(F.size(vocabulary) > len(ALPHABET), too_many).otherwise(F.levenshtein(encode(x), encode(y)))
 
-    too_many = F.raise_error(F.lit("too many distinct tokens in one pair")).cast("int")
-    return F.when(F.size(vocabulary) > len(ALPHABET), too_many).otherwise(F.levenshtein(encode(a), encode(b)))
+    return once(lambda x, y: once(distance, x, y, F.array_distinct(F.concat(x, y))), a, b)
 
 
 def _count(tokens: Column, t: Column) -> Column:
@@ -32,14 +36,22 @@ def _count(tokens: Column, t: Column) -> Column:
 
 def overlap_ratio(prediction: Column, reference: Column) -> Column:
     """Size of the multiset intersection by reference tokens; 0 without any."""
-    both = F.aggregate(F.transform(F.array_distinct(reference), lambda t: F.least(_count(prediction, t), _count(reference, t))), F.lit(0), lambda x, y: x + y)
-    return F.when(F.size(reference) > 0, both / F.size(reference)).otherwise(F.lit(0.0))
+
+    def ratio(p: Column, r: Column) -> Column:
+        both = F.aggregate(F.transform(F.array_distinct(r), lambda t: F.least(_count(p, t), _count(r, t))), F.lit(0), lambda x, y: x + y)
+        return F.when(F.size(r) > 0, both / F.size(r)).otherwise(F.lit(0.0))
+
+    return once(ratio, prediction, reference)
 
 
 def longest_unmatched(tokens: Column, other: Column) -> Column:
     """Length of the longest token that tokens has more often than other."""
-    extra = F.filter(F.array_distinct(tokens), lambda t: _count(tokens, t) > _count(other, t))
-    return F.coalesce(F.array_max(F.transform(extra, F.length)), F.lit(0))
+
+    def longest(x: Column, y: Column) -> Column:
+        extra = F.filter(F.array_distinct(x), lambda t: _count(x, t) > _count(y, t))
+        return F.coalesce(F.array_max(F.transform(extra, F.length)), F.lit(0))
+
+    return once(longest, tokens, other)
 
 
 def corpus_wer(df: DataFrame, prediction: str, reference: str, by: list[str] | None = None) -> DataFrame:

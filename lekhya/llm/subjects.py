@@ -388,7 +388,7 @@ def learn(docs: DataFrame, examples: DataFrame, id_col: str = "doc_id", text_col
             for label, t in zip(pdf["label"], pdf["t"]):
                 # an example is one text, as its label is for the whole; a document is its sentences
                 found = sentences(t) if label is None else [same_words(_NOISE.sub(" ", t))]
-                packed = [v.pack(s) for s in found if s]
+                packed = [(a, b) for a, b in (v.pack(s) for s in found if s) if a]  # a text of unknown words says nothing
                 if packed:
                     rows.append((-1 if label is None else number[label], [len(a) for a, _ in packed], [k for a, _ in packed for k in a], [x for _, b in packed for x in b]))
             yield pd.DataFrame(rows, columns=["label", "n", "at", "x"])

@@ -99,14 +99,16 @@ def content_characters(c: Column) -> Column:
     return F.length(F.regexp_replace(blank(c), r"[^\p{L}\p{N}ऀ-ॿ]", ""))
 
 
-def dominant_fraction(tokens: Column) -> Column:
-    """Share of the most frequent token; 0 without tokens."""
+def counted(tokens: Column) -> Column:
+    """Sorted tokens, each with how many times it stood before: two arrays' multisets compare as sets of these."""
+    number = lambda ts: F.transform(ts, lambda t, i: F.concat(t, F.lit("\u0001"), (i + 1 - F.array_position(ts, t)).cast("string")))
+    return once(number, F.array_sort(tokens))
 
-    def share(ts: Column) -> Column:
-        most = F.array_max(F.transform(F.array_distinct(ts), lambda t: F.size(F.filter(ts, lambda x: x == t))))
-        return F.when(F.size(ts) > 0, most / F.size(ts)).otherwise(F.lit(0.0))
 
-    return once(share, tokens)
+def dominant_fraction(tokens: Column) -> Column:
+    """Share of the most frequent token; 0 without tokens."""
+    most = lambda ts: F.array_max(F.transform(ts, lambda t, i: i + 2 - F.array_position(ts, t)))
+    return F.when(F.size(tokens) > 0, once(most, F.array_sort(tokens)) / F.size(tokens)).otherwise(F.lit(0.0))
 
 
 def longest_character_run(c: Column) -> Column:

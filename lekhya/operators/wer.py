@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lekhya.functions.text import once
+from lekhya.functions.text import counted, once
 
 #: Characters that stand for the distinct tokens of a pair.
 ALPHABET = "".join(map(chr, range(0x3400, 0xA000)))
@@ -30,28 +30,16 @@ def token_distance(a: Column, b: Column) -> Column:
     return once(lambda x, y: once(distance, x, y, F.array_distinct(F.concat(x, y))), a, b)
 
 
-def _count(tokens: Column, t: Column) -> Column:
-    return F.size(F.filter(tokens, lambda x: x == t))
-
-
 def overlap_ratio(prediction: Column, reference: Column) -> Column:
     """Size of the multiset intersection by reference tokens; 0 without any."""
-
-    def ratio(p: Column, r: Column) -> Column:
-        both = F.aggregate(F.transform(F.array_distinct(r), lambda t: F.least(_count(p, t), _count(r, t))), F.lit(0), lambda x, y: x + y)
-        return F.when(F.size(r) > 0, both / F.size(r)).otherwise(F.lit(0.0))
-
-    return once(ratio, prediction, reference)
+    both = F.size(F.array_intersect(counted(prediction), counted(reference)))
+    return F.when(F.size(reference) > 0, both / F.size(reference)).otherwise(F.lit(0.0))
 
 
 def longest_unmatched(tokens: Column, other: Column) -> Column:
     """Length of the longest token that tokens has more often than other."""
-
-    def longest(x: Column, y: Column) -> Column:
-        extra = F.filter(F.array_distinct(x), lambda t: _count(x, t) > _count(y, t))
-        return F.coalesce(F.array_max(F.transform(extra, F.length)), F.lit(0))
-
-    return once(longest, tokens, other)
+    extra = F.array_except(counted(tokens), counted(other))
+    return F.coalesce(F.array_max(F.transform(extra, lambda t: F.length(F.substring_index(t, "\u0001", 1)))), F.lit(0))
 
 
 def corpus_wer(df: DataFrame, prediction: str, reference: str, by: list[str] | None = None) -> DataFrame:

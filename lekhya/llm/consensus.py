@@ -160,7 +160,8 @@ def agreements(slots: DataFrame, weights: dict[str, float], shared: dict[tuple[s
                                 t[1] -= 1
                             elif right and words[i][k] != right[k]:
                                 t[2] += 1
-        yield pd.DataFrame([(a, b, *v) for (a, b), v in total.items()], columns=["a", "b", "n", "same", "wrong"])
+        if total:
+            yield pd.DataFrame([(a, b, *v) for (a, b), v in total.items()], columns=["a", "b", "n", "same", "wrong"])
 
     part = slots.mapInPandas(count, "a string, b string, n double, same double, wrong double")
     return part.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("n", "same", "wrong")]).where("n > 0")
@@ -169,7 +170,8 @@ def agreements(slots: DataFrame, weights: dict[str, float], shared: dict[tuple[s
 def _word_counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in frames:
         words = Counter(w for slots in pdf["slots"] for s in slots for w in s.split("\x1f"))
-        yield pd.DataFrame(words.items(), columns=["w", "n"])
+        if words:
+            yield pd.DataFrame(words.items(), columns=["w", "n"])
 
 
 def chance(slots: DataFrame) -> float:

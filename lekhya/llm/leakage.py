@@ -295,7 +295,8 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
                     words[d] = same_words(texts[d])
                 if index.holds(words[d], k):
                     out.add((ids[d], index.ids[k]))
-            yield pd.DataFrame(sorted(out), columns=["d", "i"])
+            if out:
+                yield pd.DataFrame(sorted(out), columns=["d", "i"])
 
     kinds = dict(docs.select(F.col(id_col).alias("d")).dtypes) | dict(held.dtypes)
     texts = docs.select(F.col(id_col).alias("d"), F.col(text_col).alias("t")).where("d is not null and t is not null")

@@ -195,7 +195,6 @@ def _train(packed: DataFrame, teacher: Parameters | None, begin: tuple[Parameter
         if pdf is not None and sent.value[0] is None:
             pdf = pdf[pdf["label"] >= 0]
         if pdf is None or not len(pdf):
-            yield pd.DataFrame({"weight": [], "state": []})
             return
         teacher, (params, sums) = sent.value
         n = np.concatenate(pdf["n"].to_numpy())
@@ -215,7 +214,6 @@ def _train(packed: DataFrame, teacher: Parameters | None, begin: tuple[Parameter
             c[~given] = (np.where(clearly, p > 0.5, hardly & (p < 0.5)) * SENTENCE_WEIGHT)[~given]
         total = c.max(1).sum()
         if total == 0:
-            yield pd.DataFrame({"weight": [], "state": []})
             return
         params, sums = [x.copy() for x in params], [x.copy() for x in sums]
         y, c = y.astype(np.float32), c.astype(np.float32)
@@ -372,7 +370,8 @@ def learn(docs: DataFrame, examples: DataFrame, id_col: str = "doc_id", text_col
                 yield pd.DataFrame(df.items(), columns=["w", "n"])
                 df.clear()
                 forms.clear()
-        yield pd.DataFrame(df.items(), columns=["w", "n"])
+        if df:
+            yield pd.DataFrame(df.items(), columns=["w", "n"])
 
     # how many of all documents have a word; names and the like, in very few of them, say nothing
     common = texts.select("t").mapInPandas(words, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
@@ -391,7 +390,8 @@ def learn(docs: DataFrame, examples: DataFrame, id_col: str = "doc_id", text_col
                 packed = [(a, b) for a, b in (v.pack(s) for s in found if s) if a]  # a text of unknown words says nothing
                 if packed:
                     rows.append((-1 if label is None else number[label], [len(a) for a, _ in packed], [k for a, _ in packed for k in a], [x for _, b in packed for x in b]))
-            yield pd.DataFrame(rows, columns=["label", "n", "at", "x"])
+            if rows:
+                yield pd.DataFrame(rows, columns=["label", "n", "at", "x"])
 
     packed = cut(split.mapInPandas(pack, "label int, n array<int>, at array<int>, x array<float>"))
     return subjects, vocabulary, fit(packed, len(vocabulary.part), len(subjects))
@@ -410,6 +410,8 @@ def subject_shares(docs: DataFrame, examples: DataFrame, id_col: str = "doc_id",
             for a in range(0, len(pdf), 2_000):
                 share, count = held[0].shares(list(pdf["t"][a : a + 2_000]))
                 i, k = np.nonzero(share)
+                if not len(i):
+                    continue
                 yield pd.DataFrame({"d": pdf["d"].to_numpy()[a + i], "subject": [subjects[x] for x in k], "share": share[i, k], "n_sentences": count[i]})
 
     rows = docs.select(F.col(id_col).alias("d"), F.col(text_col).alias("t")).where("d is not null and t is not null")

@@ -56,6 +56,26 @@ def consistent(df: DataFrame, id_col: str, group_col: str, texts: list[str]) ->
     return joined.select(F.col("id").alias(id_col), F.col("g").alias(group_col), *[F.col(f"c{i}").alias(f"canonical_{t}") for i, t in enumerate(texts)], "n_forms")
 
 
+def consistent_all(df: DataFrame, id_col: str, group_col: str, texts: list[str], takes_part: Column | None = None) -> DataFrame:
+    """Every row in one form: id_col, group_col, canonical_<text>.., n_forms of the class.
+
+    A null looks like nothing but a null. Rows without a twin stored otherwise, without a group or that take no part
+    come out in their own mapped form, with n_forms 1."""
+    names = [f"t{i}" for i in range(len(texts))]
+    nulls = [F.col(t).isNull().alias(f"z{i}") for i, t in enumerate(texts)]
+    sound = F.col(group_col).isNotNull() if takes_part is None else F.col(group_col).isNotNull() & takes_part
+    rows = df.select(
+        F.col(id_col).alias("id"),
+        F.col(group_col).alias("own"),
+        F.when(sound, F.struct(F.col(group_col).alias("own"), *nulls)).alias("g"),
+        *nulls,
+        *[F.coalesce(F.col(t), F.lit("")).alias(n) for n, t in zip(names, texts)],
+    )
+    joined = rows.join(variants(rows, "g", names), ["g", *names], "left")
+    forms = [F.when(~F.col(f"z{i}"), F.coalesce(F.col(f"c{i}"), look_form(F.col(f"t{i}")))).alias(f"canonical_{t}") for i, t in enumerate(texts)]
+    return joined.select(F.col("id").alias(id_col), F.col("own").alias(group_col), *forms, F.coalesce("n_forms", F.lit(1).cast("long")).alias("n_forms"))
+
+
 def pairs(df: DataFrame, id_col: str, group_col: str, texts: list[str]) -> DataFrame:
     """Pairs id_a < id_b of rows of one class whose stored texts differ.
 

@@ -68,8 +68,11 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_consistent(spark: SparkSession, d: str) -> DataFrame:
-    q3, _ = _sound(spark, d)
-    return lookalikes.consistent(q3, "sample_id", "recording_id", ["word", "normalized_word"])
+    """All rows of both tables; garbled ones take no part in classes, as in p4_found."""
+    src = _sources(spark, d)
+    a = lookalikes.consistent_all(table(spark, d, Q3), "sample_id", "recording_id", ["word", "normalized_word"], ~encoding.damaged(F.col("word"), src))
+    b = lookalikes.consistent_all(table(spark, d, TASK), "row_idx", "segment_url", ["reference"], ~encoding.damaged(F.col("reference"), src))
+    return a.select(F.lit(Q3).alias("source_table"), "*").unionByName(b.select(F.lit(TASK).alias("source_table"), "*"), allowMissingColumns=True)
 
 
 def _consensus(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:

@@ -6,7 +6,7 @@ import unicodedata
 
 from pyspark.sql import functions as F
 
-from lekhya.llm import copies, encoding, lookalikes
+from lekhya.llm import copies, encoding, lookalikes, queries
 from lekhya.llm.forms import same_words
 
 SCHEMA = "sample_id long, recording_id long, word string, normalized_word string, g int, i int, n int"
@@ -99,5 +99,32 @@ def test_lookalikes(spark):
     assert lookalikes.pairs(df.limit(0), "sample_id", "recording_id", ["word"]).count() == 0
 
 
+def test_every_row_gets_a_consistent_form(spark):
+    rows = [(k, g, a, b) for k, (g, a, b) in enumerate((g, a, b) for g in (1, 1, None) for a in ALIKE for b in [None, *ALIKE[:9]])]
+    df = spark.createDataFrame(rows, "sample_id long, recording_id long, word string, normalized_word string").withColumn("g", F.lit(1)).withColumn("own", F.lit("z"))
+    cls = dict(zip(ALIKE, CLASS))
+    got = {r["sample_id"]: r for r in lookalikes.consistent_all(df, "sample_id", "recording_id", ["word", "normalized_word"], F.col("sample_id") % 50 != 0).collect()}
+    assert len(got) == len(rows) and all((got[k]["canonical_word"] is None, got[k]["canonical_normalized_word"] is None, got[k]["recording_id"]) == (a is None, b is None, g) for k, g, a, b in rows)
+    forms, classes = {}, {}
+    for k, g, a, b in rows:
+        if g and k % 50:
+            forms.setdefault((cls[a], cls[b]), set()).add((got[k]["canonical_word"], got[k]["canonical_normalized_word"]))
+            classes.setdefault((cls[a], cls[b]), set()).add((a, b))
+    assert all(len(f) == 1 for f in forms.values()) and len({x for f in forms.values() for x in f}) == len(forms)
+    assert all(got[k]["n_forms"] == (len(classes[cls[a], cls[b]]) if g and k % 50 else 1) for k, g, a, b in rows)
+    alone = {a: got[k]["canonical_word"] for k, g, a, b in rows if g is None and b is None}
+    assert alone["ｏｆｆｉｃｅ"] == alone["of\u200bfice"] == "office" and alone[""] == ""
+    assert lookalikes.consistent_all(df.limit(0), "sample_id", "recording_id", ["word"]).count() == 0
+
+
+def test_consistent_query_has_all_rows_of_both_tables(spark, tmp_path):
+    spark.createDataFrame([(1, 7, "ｆｕｌｌ", "full"), (2, 7, "full", "full"), (3, 7, "अाज", None), (4, None, "a", "b"), (5, 7, "मुक�थि", "x")], "sample_id long, recording_id long, word string, normalized_word string").write.parquet(f"{tmp_path}/q3_low_confidence_samples.parquet")
+    spark.createDataFrame([(1, "s1", "अाज घर"), (2, "s1", "आज घर"), (3, "s2", "оk"), (4, "s3", None)], "row_idx long, segment_url string, reference string").write.parquet(f"{tmp_path}/task_records.parquet")
+    got = {(r["source_table"][0], r["sample_id"] or r["row_idx"]): r for r in queries.p4_consistent(spark, str(tmp_path)).collect()}
+    assert len(got) == 9
+    assert [got["q", k]["canonical_word"] for k in range(1, 6)] == ["full", "full", "आज", "a", "मुक�थि"] and [got["q", k]["n_forms"] for k in range(1, 6)] == [2, 2, 1, 1, 1]
+    assert [got["t", k]["canonical_reference"] for k in range(1, 5)] == ["आज घर", "आज घर", "ok", None]
+
+
 def test_same_words():
     assert same_words("The оﬃce, अाज!") == ["the", "office", "आज"] and same_words(None) == same_words("") == []

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from lekhya.llm import consensus, leakage
+from lekhya.llm import consensus, leakage, queries
 
 WORDS = [f"{a}{b}{c}" for a in "kgtdpbml" for b in ("aa", "i", "u", "o") for c in ("na", "ri", "so", "")]
 
@@ -37,6 +37,20 @@ def test_consensus_trusts_the_record(spark):
     assert empty.count() == 0 and none.count() == 0
 
 
+def test_utterances_with_garbled_references_get_a_consensus(spark, tmp_path):
+    r = random.Random(4)
+    rows = []
+    for k in range(60):
+        said = " ".join(r.choices(WORDS, k=6))
+        rows.append((k, f"u{k}", "मुक�थि घर" if k < 20 else None if k < 25 else said, [("A", said), ("B", said), ("C" if k < 20 else "D", said)]))
+    spark.createDataFrame(rows, "row_idx long, utterance_id string, reference string, model_outputs array<struct<name:string,text:string>>").write.parquet(f"{tmp_path}/task_records.parquet")
+    spark.createDataFrame([(1, "घर")], "sample_id long, word string").write.parquet(f"{tmp_path}/q3_low_confidence_samples.parquet")
+    got = {x["utterance_id"]: x for x in queries.p5_consensus(spark, str(tmp_path)).collect()}
+    assert len(got) == 60 and all(got[f"u{k}"]["consensus"] == rows[k][3][0][1] and got[f"u{k}"]["agreement"] == 1 for k in range(60))
+    assert all((got[f"u{k}"]["differs"] is None) == (k < 25) for k in range(60)) and queries.p5_found(spark, str(tmp_path)).count() == 0
+    assert {x["annotator"] for x in queries.p5_reliability(spark, str(tmp_path)).collect()} == {"A", "B", "C", "D", "reference"}
+
+
 def test_alignment():
     assert consensus.align("a b c".split(), "a x b c".split()) == [[], ["a"], ["x"], ["b"], [], ["c"], []]
     assert consensus.align("a b".split(), []) == [[], [], [], [], []]

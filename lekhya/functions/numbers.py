@@ -83,6 +83,26 @@ def number_value(c: Column) -> Column:
     return table[F.replace(c, F.lit(NUKTA), F.lit(""))]
 
 
+def number_runs(tokens: Column) -> Column:
+    """Values of each run of number words, in order, of tokens in NFKC.
+
+    Runs end where those of spoken_to_digits() do; a number word with leading marks starts one here."""
+    none = F.array().cast("array<bigint>")
+
+    def valued(t: Column) -> Column:
+        cut = split_affixes(t)
+        return F.struct(number_value(cut["core"]).cast("long").alias("v"), (cut["leading"] != "").alias("lead"), (cut["trailing"] != "").alias("trail"))
+
+    def step(s: Column, w: Column) -> Column:
+        starts = w["v"].isNull() | w["lead"] | s["ended"]
+        runs = F.when(starts & (F.size(s["run"]) > 0), F.concat(s["runs"], F.array(s["run"]))).otherwise(s["runs"])
+        run = F.when(w["v"].isNull(), none).when(starts, F.array(w["v"])).otherwise(F.concat(s["run"], F.array(w["v"])))
+        return F.struct(runs.alias("runs"), run.alias("run"), (w["v"].isNotNull() & w["trail"] & ~starts & (F.size(s["run"]) > 0)).alias("ended"))
+
+    zero = F.struct(F.array().cast("array<array<bigint>>").alias("runs"), none.alias("run"), F.lit(False).alias("ended"))
+    return F.aggregate(F.transform(tokens, valued), zero, step, lambda s: F.when(F.size(s["run"]) > 0, F.concat(s["runs"], F.array(s["run"]))).otherwise(s["runs"]))
+
+
 def spoken_to_digits(text: str) -> str:
     """The text with runs of number words as digits.
 

@@ -237,11 +237,20 @@ def number_words(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""with t as (select example_id, unnest(string_split(raw_prediction, ' ')) w from {Q2} where raw_prediction is not null)
  select example_id, coalesce(sum(n) filter (n < 100), 0)::bigint total from t left join (values {_NUMBERS}) v(w2, n) on w = w2 group by example_id""")
 def number_fold(spark: SparkSession, d: str) -> DataFrame:
-    """Runs of numbers under a hundred only add up, which plain SQL can say."""
+    """Runs of numbers under a hundred only add up, which plain SQL can say; number_totals folds all numbers."""
     w = table(spark, d, Q2).where("raw_prediction is not null").select("example_id", F.filter(F.transform(F.split("raw_prediction", " "), lambda t: numbers.number_value(F.when(~F.contains(t, F.lit(numbers.NUKTA)), t))), lambda v: v < 100).alias("v"))
     return w.select("example_id", numbers.fold_values(F.col("v")).alias("total"))
 
 
+@query()
+def number_totals(spark: SparkSession, d: str) -> DataFrame:
+    """All number words, hundreds and thousands too: the value of each run, and their total."""
+    tokens = text.words(text.squeeze(text.nfkc(F.col("raw_prediction"))))
+    runs = table(spark, d, Q2).where("raw_prediction is not null").select("example_id", numbers.number_runs(tokens).alias("runs"))
+    values = runs.select("example_id", F.transform("runs", numbers.fold_values).alias("numbers"))
+    return values.select("example_id", "numbers", F.aggregate("numbers", F.lit(0).cast("long"), lambda a, v: a + v).alias("total"))
+
+
 _AFF = r"""^[\(\[\{"''“‘]+"""
 _TAG = (
     "array_to_string(list_transform(list_filter(regexp_split_to_array({x}, '\\s+'), lambda t: t <> ''), lambda t: case when regexp_matches(t, '\\[EN\\].*\\[/EN\\]') then t "

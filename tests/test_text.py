@@ -1,4 +1,5 @@
 import random
+import unicodedata
 
 import pytest
 from hypothesis import given, settings
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lekhya.functions import english, numbers, repetition, similarity, text
 from lekhya.functions.repetition import trim_tail
+from lekhya.plans import queries
 
 
 def column(spark, values, make, kind="string"):
@@ -107,6 +109,33 @@ def test_numbers(spark):
     assert len(numbers.NUMBERS) == 112 and max(numbers.NUMBERS.values()) == 1000
 
 
+def test_number_totals(spark, tmp_path):
+    """All number words are folded run by run, against brute force over random texts."""
+    r = random.Random(3)
+    words = ["सौ", "हजार", "हज़ार", "ह\u095bार", "दो", "तीन", "पाँच", "बीस", "चौवन", "घर", "और"]
+    texts = [" ".join(r.choice(["", "", "", "("]) * (r.random() < 0.1) + r.choice(words) + r.choice(["", "", "", "।", ","]) for _ in range(r.randrange(12))) for _ in range(300)]
+    texts += ["तीन सौ चौवन लोग", "दो हज़ार पाँच सौ रुपये और बीस", "एक लाख", "", None, "सौ\u3000बीस"]
+    spark.createDataFrame(list(enumerate(texts)), "example_id long, raw_prediction string").write.parquet(f"{tmp_path}/q2_examples.parquet")
+    got = {x["example_id"]: x for x in queries.number_totals(spark, str(tmp_path)).collect()}
+    assert set(got) == {k for k, t in enumerate(texts) if t is not None}
+
+    def brute(t):
+        out, run, ended = [], [], False
+        for lead, core, trail in map(numbers._affixes, unicodedata.normalize("NFKC", t).split()):
+            v = numbers.NUMBERS.get(core.replace(numbers.NUKTA, ""))
+            if run and (v is None or lead or ended):
+                out.append(numbers.fold(run))
+                run = []
+            ended = v is not None and bool(trail) and bool(run)
+            run += [v] if v is not None else []
+        return out + ([numbers.fold(run)] if run else [])
+
+    for k, t in enumerate(texts):
+        if t is not None:
+            assert got[k]["numbers"] == brute(t) and got[k]["total"] == sum(brute(t)), t
+    assert [got[k]["numbers"] for k in (300, 301, 305)] == [[354], [2500, 20], [120]]
+
+
 def test_english(spark):
     got = column(spark, ["मेरा interview अच्छा गया", "डेटा सिस्टम update करना है", '"file", है', "[EN]फोन[/EN]", "  ", None], english.tag_english)
     assert got == ["मेरा [EN]interview[/EN] अच्छा गया", "[EN]डेटा[/EN] [EN]सिस्टम[/EN] [EN]update[/EN] करना है", '"[EN]file[/EN]", है', "[EN]फोन[/EN]", "  ", None]

@@ -397,6 +397,19 @@ def stream_windowed_wer(spark: SparkSession, d: str) -> DataFrame:
     return stream.windowed_wer(rows, "recorded_at", "heard", "reference").select(F.date_format("start", "yyyy-MM-dd").alias("day"), "edits", "reference_tokens")
 
 
+_MODEL_DAY = f"""with o as (select recorded_at, reference, unnest(model_outputs) o from {TASK} where recorded_at is not null),
+ t as (select recorded_at, o.name model, {comparison_sql('reference')} b, {comparison_sql('o.text')} a from o where o.name is not null)"""
+
+
+@query(_MODEL_DAY + f" select model, strftime(timezone('UTC', recorded_at), '%Y-%m-%d') as day, sum({distance_sql('a', 'b')})::bigint edits, sum(len(b))::bigint reference_tokens, sum({distance_sql('a', 'b')}) / nullif(sum(len(b)), 0) wer from t group by 1, 2")
+def stream_windowed_wer_models(spark: SparkSession, d: str) -> DataFrame:
+    """The windowed error rate of every model, over the utterances it has an output for; one without text is all deletions."""
+    rows = table(spark, d, TASK).where("recorded_at is not null").select("recorded_at", "reference", F.explode("model_outputs").alias("o"))
+    named = rows.where("o.name is not null").select("recorded_at", "reference", F.col("o.name").alias("model"), F.col("o.text").alias("heard"))
+    rates = stream.windowed_wer(named, "recorded_at", "heard", "reference", by=("model",))
+    return rates.select("model", F.date_format("start", "yyyy-MM-dd").alias("day"), "edits", "reference_tokens", F.try_divide("edits", "reference_tokens").alias("wer"))
+
+
 # --- error classes ------------------------------------------------------------------------------------------------
 
 

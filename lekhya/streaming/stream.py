@@ -22,11 +22,11 @@ def cleaned_stream(df: DataFrame, text: str) -> DataFrame:
     return df.withColumn("cleaned", clean_prediction(F.col(text)))
 
 
-def windowed_wer(df: DataFrame, time: str, prediction: str, reference: str, window: str = "1 day", late: str = "2 days") -> DataFrame:
-    """start, edits, reference_tokens per window; rows later than the watermark are left out."""
-    tokens = df.select(time, comparison_tokens(F.col(prediction)).alias("p"), comparison_tokens(F.col(reference)).alias("r"))
-    rows = tokens.select(time, token_distance(F.col("p"), F.col("r")).cast("long").alias("e"), F.size("r").cast("long").alias("n"))
+def windowed_wer(df: DataFrame, time: str, prediction: str, reference: str, window: str = "1 day", late: str = "2 days", by: tuple[str, ...] = ()) -> DataFrame:
+    """by.., start, edits, reference_tokens per window; rows later than the watermark are left out."""
+    tokens = df.select(time, *by, comparison_tokens(F.col(prediction)).alias("p"), comparison_tokens(F.col(reference)).alias("r"))
+    rows = tokens.select(time, *by, token_distance(F.col("p"), F.col("r")).cast("long").alias("e"), F.size("r").cast("long").alias("n"))
     if df.isStreaming:
         rows = rows.withWatermark(time, late)
-    g = rows.groupBy(F.window(time, window).alias("w")).agg(F.sum("e").alias("edits"), F.sum("n").alias("reference_tokens"))
-    return g.select(F.col("w.start").alias("start"), "edits", "reference_tokens")
+    g = rows.groupBy(*by, F.window(time, window).alias("w")).agg(F.sum("e").alias("edits"), F.sum("n").alias("reference_tokens"))
+    return g.select(*by, F.col("w.start").alias("start"), "edits", "reference_tokens")

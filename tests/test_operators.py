@@ -1,3 +1,4 @@
+import datetime as dt
 import random
 
 import pytest
@@ -5,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lekhya.functions.text import comparison_tokens
 from lekhya.operators import cleanup, lattice, quality, sampling, spelling, taxonomy, wer
+from lekhya.plans import queries
 
 
 def edits(a, b):
@@ -181,3 +183,12 @@ def test_cleanup(spark):
     got = cleanup.tag_with_lexicon(spark.createDataFrame([(1, "यह टीमें और टीमो, file")], "i int, t string"), "i", "t", lex)
     assert got.first()["tagged"] == "यह टीमें और [EN]टीमो[/EN], [EN]file[/EN]"
     assert comparison_tokens is not None
+
+
+def test_windowed_wer_of_every_model(spark, tmp_path):
+    at = [dt.datetime(2026, 1, 1, 9), dt.datetime(2026, 1, 1, 23), dt.datetime(2026, 1, 2), None]
+    outputs = [[("Model H", "a b c"), ("Model i", "a x c"), (None, "a")], [("Model i", "a b"), ("Model k", None), None], [("Model k", "a b c")], [("Model H", "z")]]
+    rows = [(k, t, ref, o) for k, (t, ref, o) in enumerate(zip(at, ["a b c", "a b c", "", "a"], outputs))]
+    spark.createDataFrame(rows, "row_idx long, recorded_at timestamp, reference string, model_outputs array<struct<name:string,text:string>>").write.parquet(f"{tmp_path}/task_records.parquet")
+    got = {tuple(r) for r in queries.stream_windowed_wer_models(spark, str(tmp_path)).collect()}
+    assert got == {("Model H", "2026-01-01", 0, 3, 0.0), ("Model i", "2026-01-01", 2, 6, 2 / 6), ("Model k", "2026-01-01", 3, 3, 1.0), ("Model k", "2026-01-02", 3, 0, None)}

@@ -3,8 +3,8 @@
 Words and their parts (the word, its sound spelled alike in Devanagari and Roman script, character n-grams of that)
 have embeddings; a text is the average of its words' embeddings, common words weighing less, and has one independent
 logistic output per subject. Training runs in all partitions at once: each makes a few Adagrad steps over its own
-rows, the accumulated gradients are synchronised (averaged by the rows behind them), and the next steps start from
-the common parameters. The model is fitted on the labelled examples and then, in rounds of self-training, also on
+rows, the parameters and Adagrad sums are averaged by the rows behind them, and the next steps start from these
+common ones; gradients stay in their partition. The model is fitted on the labelled examples and then, in rounds of self-training, also on
 the sentences of a bounded sample of documents: a sentence counts for a subject if the model of the round before puts
 it there and its document has the subject clearly, and against it if its document hardly has it; all else is left
 out. Words that the few examples lack get their meaning in this way.

@@ -12,10 +12,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one of our own is set only where none is."""
+    """The folder of spark.checkpoint.dir. Where it is unset, a local session gets one of its own; a cluster must name
+    one, as its executors can't read a folder of the driver's machine."""
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if sc.getCheckpointDir() is None:
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lekhya-"))
     return sc.getCheckpointDir()
 

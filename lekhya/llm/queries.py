@@ -45,7 +45,7 @@ def _repetition(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return _repetition(spark, d).where("rejected").select("source_table", "example_id")
+    return repetition.repetitive(_repetition(spark, d)).select("source_table", "example_id")
 
 
 def p3_repetition(spark: SparkSession, d: str) -> DataFrame:

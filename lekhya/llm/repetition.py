@@ -1,14 +1,23 @@
 """Problem 3: repetition inside one text.
 
-Line-first cleaning: a text is cut into lines (at line breaks, after sentence ends, else every LINE_WORDS words),
-each line is judged by rules on its own words (nothing but punctuation, navigation phrases, words that repeat what
-stood before), the failing lines are removed, and texts that lose too much are rejected. What a line repeats is
-known from the whole text: a word is repeated if it lies in a second or later copy of a stretch of STRETCH or more
-words that stood earlier, or of a stretch of 1 to CYCLE words standing three or more times in direct succession.
-A line that repeats in part loses just those words, so that the loss is the share of repeated words.
-
-Nulls and texts without words have share 0 and are never rejected. Each batch is worked on as a whole with numpy;
-time and memory are linear in the number of words however long a text is.
+Line-first cleaning: a text is cut into lines (at line breaks, after sentence ends, else every LINE_WORDS words) and
+every line is judged by rules:
+
+* punctuation: it has no word, or marks make up more than half of its characters other than white space;
+* navigation: three or more entries of at most three words each, set apart by menu separators, or nothing but an
+  address on the web;
+* boilerplate: it says again what the text has said already. A word says something again if it lies in a second or
+  later copy of a stretch of STRETCH or more words that stood earlier, or of a stretch of 1 to CYCLE words standing
+  three or more times in direct succession. A line of which LINE_REPEATED of the words do is removed whole, from
+  other lines just those words are removed.
+
+A text that loses at least REJECT of its words with its lines is rejected. Removed lines can hold words that aren't
+repeated, so the rejected texts of which less than REJECT is repeated are told apart (share below REJECT) by an exact
+count of the repeated words.
+
+Nulls and texts without words have loss and share 0 and are never rejected. Each batch is worked on as a whole with
+numpy, a bounded number of characters at a time; time and memory are linear in the number of words however long a
+text is.
 """
 
 from __future__ import annotations
@@ -26,8 +35,10 @@ STRETCH, CYCLE, LINE_WORDS = 6, 12, 12
 REJECT = 0.4
 #: A line of which at least this share is repeated fails as a whole.
 LINE_REPEATED = 0.8
-#: Phrases of page navigation that make a line fail.
-NAVIGATION = ("click here", "read more", "next page", "previous page", "more parts are listed below", "और कड़ियाँ नीचे सुनने को देखें")
+#: A batch is worked on in pieces of about so many characters (a longer text by itself).
+PIECE = 4_000_000
+_MENU = re.compile(r"\s[|»›→•·>]\s|\t")
+_ADDRESS = re.compile(r"\s*(?:https?://|www\.)\S+\s*")
 _PUNCT = re.compile(r"[^\w\sऀ-ॣ०-ॿ̀-ͯ‌‍]|_")
 _LINE_END = re.compile(r"[\r\n]+|(?<=[.!?।॥])\s+")
 
@@ -72,43 +83,72 @@ def _lines(t: str) -> list[str]:
     return out
 
 
+def _is_navigation(line: str) -> bool:
+    entries = [e.split() for e in _MENU.split(line)]
+    return (len(entries) >= 3 and all(1 <= len(e) <= 3 for e in entries)) or _ADDRESS.fullmatch(line) is not None
+
+
+def _is_marks(line: str, n_words: int) -> bool:
+    shown = "".join(line.split())
+    return n_words == 0 or 2 * len(_PUNCT.findall(shown)) > len(shown)
+
+
+def _clean(texts: list[str | None]) -> pd.DataFrame:
+    """n_words, n_repeated, n_lost, n_lines, n_failed, kept of each text."""
+    all_words: list[str] = []
+    text_of: list[int] = []
+    lines: list[tuple[int, str, int, int]] = []  # text, line, its words from..to
+    for i, t in enumerate(texts):
+        for line in () if t is None else _lines(t):
+            begin = len(all_words)
+            all_words.extend(_PUNCT.sub("", line.lower()).split())
+            text_of.extend([i] * (len(all_words) - begin))
+            lines.append((i, line, begin, len(all_words)))
+    words = pd.factorize(np.array(all_words, dtype=object))[0] if all_words else np.zeros(0, int)
+    text = np.array(text_of, dtype=np.int64)
+    again = repeated_words(words, text)
+    before = np.concatenate(([0], np.cumsum(again)))
+    n = len(texts)
+    total, repeated, lost, n_lines, failed = (np.zeros(n, dtype=np.int64) for _ in range(5))
+    held: list[list[str]] = [[] for _ in range(n)]
+    for i, line, a, b in lines:
+        said = int(before[b] - before[a])
+        n_lines[i] += 1
+        total[i] += b - a
+        repeated[i] += said
+        if _is_marks(line, b - a) or _is_navigation(line) or said >= LINE_REPEATED * (b - a):
+            failed[i] += 1
+            lost[i] += b - a
+        elif said:
+            lost[i] += said
+            tokens = [w for w in line.split() if _PUNCT.sub("", w.lower())]
+            held[i].append(" ".join(w for w, x in zip(tokens, again[a:b]) if not x) if len(tokens) == b - a else line)
+        else:
+            held[i].append(line)
+    kept = [None if t is None else "\n".join(h) for t, h in zip(texts, held)]
+    return pd.DataFrame({"n_words": total, "n_repeated": repeated, "n_lost": lost, "n_lines": n_lines, "n_failed": failed, "kept": kept})
+
+
 def _measure(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in frames:
-        n_lines, failed, kept = np.zeros(len(pdf), int), np.zeros(len(pdf), int), []
-        all_words: list[str] = []
-        text_of, line_of, spans = [], [], []
-        for i, t in enumerate(pdf["t"]):
-            lines = [] if t is None else _lines(t)
-            n_lines[i] = len(lines)
-            for j, line in enumerate(lines):
-                w = _PUNCT.sub("", line.lower()).split()
-                spans.append((i, line, len(all_words), len(all_words) + len(w)))
-                all_words.extend(w)
-                text_of.extend([i] * len(w))
-        words = pd.factorize(np.array(all_words, dtype=object))[0] if all_words else np.zeros(0, int)
-        text = np.array(text_of, dtype=np.int64)
-        again = repeated_words(words, text)
-        total = np.bincount(text, minlength=len(pdf)) if len(text) else np.zeros(len(pdf), int)
-        lost = np.bincount(text, weights=again, minlength=len(pdf)) if len(text) else np.zeros(len(pdf))
-        held: list[list[str]] = [[] for _ in range(len(pdf))]
-        for i, line, a, b in spans:
-            r = again[a:b]
-            low = line.lower()
-            if a == b or (len(r) and r.mean() >= LINE_REPEATED) or any(x in low for x in NAVIGATION):
-                failed[i] += 1
-            elif r.any():
-                tokens = [w for w in line.split() if _PUNCT.sub("", w.lower())]
-                held[i].append(" ".join(w for w, x in zip(tokens, r) if not x) if len(tokens) == len(r) else line)
-            else:
-                held[i].append(line)
-        kept = [None if t is None else "\n".join(h) for t, h in zip(pdf["t"], held)]
-        share = np.divide(lost, total, out=np.zeros(len(pdf)), where=total > 0)
-        yield pd.DataFrame({"id": pdf["id"], "n_words": total, "n_repeated": lost.astype(int), "share": share, "n_lines": n_lines, "n_failed": failed, "kept": kept, "rejected": (share >= REJECT) & (total > 0)})
+        size = pdf["t"].map(lambda t: len(t) if t else 0).cumsum() // PIECE
+        for _, part in pdf.groupby(size, sort=False):
+            out = _clean(list(part["t"]))
+            out.insert(0, "id", part["id"].to_numpy())
+            yield out
 
 
 def measure(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id_col, n_words, n_repeated, share, n_lines, n_failed, kept (the text without failing lines), rejected."""
+    """id_col, n_words, n_repeated, n_lost, share (of repeated words), loss (of words removed with lines), n_lines,
+    n_failed, kept (the text without what was removed), rejected (by the loss)."""
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
     kind = dict(rows.dtypes)["id"]
-    out = rows.mapInPandas(_measure, f"id {kind}, n_words long, n_repeated long, share double, n_lines long, n_failed long, kept string, rejected boolean")
-    return out.withColumnRenamed("id", id_col)
+    out = rows.mapInPandas(_measure, f"id {kind}, n_words long, n_repeated long, n_lost long, n_lines long, n_failed long, kept string")
+    part = lambda c: F.when(F.col("n_words") > 0, F.col(c) / F.col("n_words")).otherwise(F.lit(0.0))
+    out = out.select(F.col("id").alias(id_col), "n_words", "n_repeated", "n_lost", part("n_repeated").alias("share"), part("n_lost").alias("loss"), "n_lines", "n_failed", "kept")
+    return out.withColumn("rejected", F.col("loss") >= REJECT)
+
+
+def repetitive(measured: DataFrame) -> DataFrame:
+    """The rejected texts whose repeated words alone come to REJECT."""
+    return measured.where(F.col("rejected") & (F.col("share") >= REJECT))

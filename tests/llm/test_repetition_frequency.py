@@ -44,12 +44,14 @@ def test_marks(texts):
 
 def test_measure(spark):
     loop = "देखिए यह घर " * 40
-    rows = [(1, "a b c d"), (2, loop), (3, None), (4, ""), (5, "..."), (6, "one two three four five six seven. One, two three four five six seven!"), (7, "x " * 30_000), (8, "fine words stay here\nclick here\nfine end")]
+    rows = [(1, "a b c d"), (2, loop), (3, None), (4, ""), (5, "..."), (6, "one two three four five six seven. One, two three four five six seven!"), (7, "x " * 30_000), (8, "fine words stay here\nHome | About us | Help\nfine end"), (9, "good\nhttps://example.org/a/b\n-- ** a ** --\na > b > c"), (10, "a b c d e f g. h a b c d e f")]
     df = spark.createDataFrame(rows, "example_id long, before string").withColumn("id", F.lit("q")).withColumn("t", F.lit(0))
     got = {r["example_id"]: r for r in repetition.measure(df, "example_id", "before").collect()}
-    assert len(got) == 8 and [got[k]["rejected"] for k in range(1, 9)] == [False, True, False, False, False, True, True, False]
+    assert len(got) == 10 and [got[k]["rejected"] for k in range(1, 11)] == [False, True, False, False, False, True, True, True, True, True]
+    assert sorted(r["example_id"] for r in repetition.repetitive(repetition.measure(df, "example_id", "before")).collect()) == [2, 6, 7, 10]
     assert got[2]["n_repeated"] == 117 and got[6]["share"] == 0.5 and got[7]["n_repeated"] == 29_999 and got[3]["kept"] is None
-    assert got[8]["kept"] == "fine words stay here\nfine end" and got[8]["n_failed"] == 1
+    assert got[8]["kept"] == "fine words stay here\nfine end" and (got[8]["n_failed"], got[8]["n_lost"], got[8]["n_words"], got[8]["share"]) == (1, 4, 10, 0.0)
+    assert got[9]["kept"] == "good" and got[9]["n_failed"] == 3 and (got[10]["n_lost"], got[10]["n_repeated"]) == (7, 6)
     assert repetition.measure(df.limit(0), "example_id", "before").count() == 0
 
 
@@ -83,4 +85,4 @@ def test_counts(spark):
 
 
 def test_empty_batch():
-    assert list(repetition._measure(iter([pd.DataFrame({"id": [], "t": []})])))[0].empty
+    assert list(repetition._measure(iter([pd.DataFrame({"id": [], "t": []})]))) == []

@@ -55,15 +55,54 @@ def test_measure(spark):
     assert repetition.measure(df.limit(0), "example_id", "before").count() == 0
 
 
-def test_burst_trie():
-    r = random.Random(1)
-    trie, want = frequency.BurstTrie(), Counter()
-    for _ in range(5000):
-        t = "".join(r.choice("abc") for _ in range(r.randrange(0, 9)))
-        assert trie.add(t, 2, 1, limit=5) == (t not in want)
-        want[t] += 1
-    assert {(t, o, n) for t, o, n in trie.items()} == {(t, 2 * c, c) for t, c in want.items()} and trie.size == len(want)
-    assert dict(trie.nodes(1))[""] == len(want)
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.text("ab", max_size=9), max_size=120), max_size=4), st.integers(1, 6), st.integers(1, 40))
+def test_burst_tries_merge(lists, limit, most):
+    want, merged = Counter(), frequency.BurstTrie()
+    for terms in lists:
+        trie, own = frequency.BurstTrie(), Counter()
+        for t in terms:
+            assert trie.add("long common " + t, 2, 1, limit) == (t not in own)
+            own[t] += 1
+        assert {t: (o, n) for t, o, n in trie.items()} == {"long common " + t: (2 * c, c) for t, c in own.items()} and trie.size == len(own)
+        held = 0
+        for p, node in trie.subtrees(most):
+            assert node.size <= most or node.leaf is not None
+            held += node.size
+            for q, leaf in node.containers():
+                merged.graft(p + q, leaf, limit)
+        assert held == len(own)
+        want += own
+    assert {t: (o, n) for t, o, n in merged.items()} == {"long common " + t: (2 * c, c) for t, c in want.items()} and merged.size == len(want)
+
+
+def test_deep_trie():
+    """Terms that are prefixes of each other, and long ones that differ at the end only."""
+    trie = frequency.BurstTrie()
+    terms = ["a" * k for k in range(3000)] + ["x" * 50_000 + str(k) for k in range(200)]
+    for t in terms:
+        trie.add(t)
+    assert sorted(t for t, _, _ in trie.items()) == sorted(terms)
+
+
+def test_routes_place_terms(spark):
+    """Crowded prefixes are split, a route's terms meet in one task, and routes hold about as many terms as they may."""
+    r = random.Random(3)
+    terms = [f"https://example.org/{r.randrange(30_000)}" for _ in range(8000)] + [r.choice("bcd") * 3 + str(k) for k in range(300)] + ["https://example.org/", "", "h"]
+    df = spark.createDataFrame([([t],) for t in terms], "terms array<string>").repartition(5)
+    subtrees = frequency.cut(df.mapInPandas(frequency._cut, "prefix string, size long, subtree binary"))
+    split, sizes = frequency.routes(subtrees, 500)
+    assert "https://example.org/" in split and "bbb" not in split and max(sizes.values()) <= 500 and len(split) > 20
+    assert frequency.route_of("bbb7", split) == "b" and frequency.route_of("https://example.org/", split) == "https://example.org/"
+    firsts, numbers = frequency.placement(sizes, 4)
+    assert numbers == sorted(set(numbers)) and len(numbers) == 4 and firsts == sorted(firsts)
+    got = {x["term"]: x["occurrences"] for x in frequency.count_terms(df, 500).collect()}
+    assert got == Counter(terms)
+    where = frequency.count_terms(df, 500).select("term", F.spark_partition_id().alias("task")).collect()
+    tasks = {}
+    for x in where:
+        tasks.setdefault(frequency.route_of(x["term"], split), set()).add(x["task"])
+    assert all(len(v) == 1 for v in tasks.values()) and len(set.union(*tasks.values())) == 4
 
 
 def test_counts(spark):

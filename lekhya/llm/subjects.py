@@ -1,13 +1,21 @@
 """Problem 9: subject areas of documents.
 
 Words and their parts (the word, its sound spelled alike in Devanagari and Roman script, character n-grams of that)
-have embeddings; a text is the average of its words' embeddings, common words weighing less, and has one independent
-logistic output per subject. Training runs in all partitions at once: each makes a few Adagrad steps over its own
-rows, the parameters and Adagrad sums are averaged by the rows behind them, and the next steps start from these
-common ones; gradients stay in their partition. The model is fitted on the labelled examples and then, in rounds of self-training, also on
-the sentences of a bounded sample of documents: a sentence counts for a subject if the model of the round before puts
-it there and its document has the subject clearly, and against it if its document hardly has it; all else is left
-out. Words that the few examples lack get their meaning in this way.
+have embeddings in a table of fixed width that they are hashed to, so that every word of any corpus has one; a text is
+the average of its words' embeddings, common words weighing less, and has one independent logistic output per
+subject.
+
+The model is fitted on the labelled examples first. Then follow rounds of self-training over all documents: a
+sentence counts for a subject if the model of the round before puts it there and its document has the subject clearly,
+and against it if its document hardly has it; all else is left out. Words that the few examples lack get their meaning
+in this way. Every step of a round takes one slice of the documents (by hash of the id, STEPS slices make all of them):
+each partition adds up the gradients of its own documents at the common parameters, these sums are added up over all
+partitions, with that of the examples, and one Adagrad step is made for all. The outputs are linear in the embeddings,
+so a partition needs no more than each part's scores and hands back no more than what its parts add to their
+gradients; the rest follows from the sums. Results do not depend on the number of partitions or on how many documents
+there are.
+
+Texts are cut into words and parts once; the numbers of the parts are written to the shared folder by slice.
 
 Every document is then scored whole, sentence by sentence (line ends, sentence marks; text without any is read in a
 sliding window of words); the share of a subject is that of the sentences whose output for it is above one half, and
@@ -21,30 +29,40 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lekhya.llm.forms import SEQUENCES, same_words
-from lekhya.llm.run import cut
+from lekhya.llm.run import shared_folder
 
 #: Width of embeddings, length of character n-grams, and what they weigh against word and sound.
 WIDTH, GRAM, GRAM_SHARE = 8, 6, 0.1
+#: Rows of the hash table for words, for sounds and for n-grams each.
+BUCKETS = 1 << 16
 #: A document has a subject from this share of its sentences; words of the window where there are no sentences.
 SHARE, WINDOW = 0.25, 9
 #: A word in a share p of all documents weighs COMMON / (COMMON + p).
 COMMON = 0.1
-#: Bounds of what is trained on: labelled rows, documents (expected number, by hash of the id).
-MAX_EXAMPLES, SAMPLE_DOCUMENTS = 20_000, 3_000
-#: Partitions that train, synchronisations per fit, steps between them, rounds of self-training, weight of a sentence.
-TRAINERS, SYNCS, STEPS, ROUNDS, SENTENCE_WEIGHT, RATE = 4, 6, 10, 3, 0.02, 0.3
+#: Bound of the labelled rows, drawn by hash of their content.
+MAX_EXAMPLES = 20_000
+#: Steps on the examples; rounds of self-training and steps (slices of the documents) of a round.
+EXAMPLE_STEPS, ROUNDS, STEPS, RATE = 60, 3, 8, 1.0
+#: What all documents' sentences of a step weigh against all examples.
+SENTENCES_SHARE = 0.9
 #: Self-training: a document has a subject clearly from this share, and hardly up to that.
 CLEARLY, HARDLY = 0.2, 0.1
+#: Sums of gradients that one task, or the driver, adds up.
+FAN_IN = 64
+#: Characters of the texts that are packed into one block (a longer text is one by itself).
+BLOCK = 4_000_000
 _SENTENCE = re.compile(r"[.!?।॥\n\r]+")
 _MARKS = ".,;:!?।॥…\"'“”‘’()[]-–"
 _PLAIN = re.compile("[a-z0-9\u0901-\u0928\u092a-\u0930\u0932\u0933\u0935-\u0957\u0966-\u096f]+")
@@ -91,332 +109,351 @@ def roman(word: str) -> str:
     return out
 
 
-def parts(word: str) -> list[tuple[str, float]]:
-    """The parts of a word that have embeddings, with weights of sum 1."""
+def _hash(part: str, kind: int) -> int:
+    return kind * BUCKETS + int.from_bytes(blake2b(part.encode(), digest_size=4).digest(), "little") % BUCKETS
+
+
+def parts(word: str) -> tuple[int, ...]:
+    """Numbers of a word's parts: the word's own first, then its sound's, then its n-grams'."""
     r = f"<{roman(word)}>"
     grams = [r[i : i + GRAM] for i in range(len(r) - GRAM + 1)] if len(r) > GRAM else []
-    main = (1 - GRAM_SHARE) / 2 if grams else 0.5
-    return [(word, main), (r, main), *((g, GRAM_SHARE / len(grams)) for g in grams)]
+    return (_hash(word, 0), _hash(r, 1), *(_hash(g, 2) for g in grams))
 
 
-class _Forms(dict):
-    """Token to its words."""
+class Forms(dict):
+    """Token to the numbers of its words; words: each one's parts."""
 
-    def __missing__(self, token: str) -> list[str]:
-        w = self[token] = same_words(token)
-        return w
+    def __init__(self) -> None:
+        super().__init__()
+        self.words: list[tuple[int, ...]] = []
+        self.number: dict[str, int] = {}
+
+    def _of(self, word: str) -> int:
+        k = self.number.get(word)
+        if k is None:
+            k = self.number[word] = len(self.words)
+            self.words.append(parts(word))
+        return k
 
+    def __missing__(self, token: str) -> list[int]:
+        w = token.strip(_MARKS).lower()
+        plain = _PLAIN.fullmatch(w) and not _SEQUENCE.search(w)  # most tokens; the rest go through same_words
+        out = self[token] = [self._of(x) for x in ([w] if plain else same_words(token))]
+        return out
 
-def least(documents: int) -> int:
-    """Documents that a word outside the examples must be in; n-grams are taken from such words only.
 
-    As a share of all documents it bounds the vocabulary however large the corpus is."""
-    return max(3, documents // 300)
+@dataclass
+class Block:
+    """Texts as numbers: words in a row; n of each stretch (a sentence; a word in text without marks), own (number of
+    each stretch's document) and long (by document: no marks); size and at: parts of each of the block's words."""
 
+    words: np.ndarray
+    n: np.ndarray
+    own: np.ndarray
+    long: np.ndarray
+    size: np.ndarray
+    at: np.ndarray
 
-def sentences(text: str) -> list[list[str]]:
-    """Words of each sentence; text without marks is cut into pieces of about a sentence."""
-    out = [w for w in (same_words(p) for p in _SENTENCE.split(_NOISE.sub(" ", text))) if w]
-    if len(out) == 1 and len(out[0]) > 2 * WINDOW:
-        n = WINDOW + 1
-        out = [out[0][k : k + n] for k in range(0, len(out[0]) - n // 2, n)]
-    return out
+    @classmethod
+    def of(cls, texts: list[str], forms: Forms, whole: bool = False) -> "Block":
+        """whole: each text is one stretch."""
+        words: list[int] = []
+        n: list[int] = []
+        own: list[int] = []
+        long: list[bool] = []
+        for i, t in enumerate(texts):
+            if "[" in t or ": " in t:
+                t = _NOISE.sub(" ", t)
+            pieces = [t.split()] if whole else [p for p in (s.split() for s in _SENTENCE.split(t)) if p]
+            wide = not whole and len(pieces) == 1 and len(pieces[0]) > 2 * WINDOW
+            long.append(wide)
+            for p in pieces:
+                begin = len(words)
+                for token in p:
+                    words.extend(forms[token])
+                m = len(words) - begin
+                if m:
+                    n.extend([1] * m if wide else [m])
+                    own.extend([i] * (m if wide else 1))
+        held, back = np.unique(np.array(words, dtype=np.int64), return_inverse=True)
+        of = [forms.words[k] for k in held]
+        size = np.fromiter(map(len, of), dtype=np.int32, count=len(of))
+        at = np.fromiter((p for w in of for p in w), dtype=np.int32, count=int(size.sum()))
+        return cls(back.astype(np.int32), np.array(n, np.int32), np.array(own, np.int32), np.array(long, bool), size, at)
+
+    def buckets(self) -> np.ndarray:
+        """Word buckets of each document, each once."""
+        first = self.at[np.cumsum(self.size) - self.size]
+        both = np.unique(np.repeat(self.own.astype(np.int64), self.n) * BUCKETS + first[self.words])
+        return both % BUCKETS
+
+
+class Texts:
+    """A block with the weights of its words. idf: weight of a word by its bucket."""
+
+    def __init__(self, b: Block, idf: np.ndarray) -> None:
+        self.b, self.documents = b, len(b.long)
+        self.word = np.repeat(np.arange(len(b.size)), b.size)
+        grams = b.size - 2
+        main = np.where(grams > 0, (1 - GRAM_SHARE) / 2, 0.5)[self.word]
+        self.x = np.where(b.at < 2 * BUCKETS, main, (GRAM_SHARE / np.maximum(grams, 1))[self.word]).astype(np.float32)[:, None]
+        self.first = (np.cumsum(b.size) - b.size).astype(np.int64)
+        self.weight = idf[b.at[self.first]] if len(b.size) else np.zeros(0, np.float32)
+        self.begin = (np.cumsum(b.n) - b.n).astype(np.int64)
+        self.wide = b.long[b.own] if len(b.own) else np.zeros(0, bool)
+
+    def of_words(self, scores: np.ndarray) -> np.ndarray:
+        """What each of the block's words adds to the outputs, by its weight."""
+        if not len(self.first):
+            return np.zeros((0, scores.shape[1]), np.float32)
+        return np.add.reduceat(scores[self.b.at] * self.x, self.first) * self.weight[:, None]
+
+    def shares(self, scores: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Share of the sentences of each subject by document, and the number of sentences (windows)."""
+        b, k = self.b, len(bias)
+        run = np.zeros((len(b.n) + 1, k + 1))
+        if len(b.n):
+            each = np.column_stack((self.weight, self.of_words(scores)))
+            np.cumsum(np.add.reduceat(each[b.words], self.begin), axis=0, out=run[1:])
+        ix = np.arange(len(b.n))
+        start, stop = np.searchsorted(b.own, b.own, "left"), np.searchsorted(b.own, b.own, "right")
+        lo = np.where(self.wide, np.maximum(start, ix - WINDOW // 2), ix)
+        hi = np.where(self.wide, np.minimum(stop, ix + WINDOW // 2 + 1), ix + 1)
+        s = run[hi] - run[lo]
+        hit = s[:, 1:] / np.maximum(s[:, :1], 1e-9) + bias > 0
+        count = np.bincount(b.own, minlength=self.documents)
+        hits = np.stack([np.bincount(b.own, weights=hit[:, j], minlength=self.documents) for j in range(k)], 1)
+        return hits / np.maximum(count, 1)[:, None], count
+
+
+class Units:
+    """What is learned from: the stretches of a block, words of text without marks in pieces of WINDOW + 1."""
+
+    def __init__(self, t: Texts) -> None:
+        b = t.b
+        start = np.concatenate(([True], b.own[1:] != b.own[:-1])) if len(b.own) else np.zeros(0, bool)
+        place = np.arange(len(b.own)) - np.nonzero(start)[0][np.cumsum(start) - 1] if len(b.own) else np.zeros(0, int)
+        keep = ~t.wide | (place % (WINDOW + 1) == 0)
+        self.t, self.begin, self.own = t, t.begin[keep], b.own[keep]
+        self.unit = np.repeat(np.arange(len(self.begin)), np.diff(np.append(self.begin, len(b.words))))
+        self.whole = np.maximum(np.add.reduceat(t.weight[b.words], self.begin), 1e-9) if len(self.begin) else np.zeros(0)
+
+    def outputs(self, scores: np.ndarray, bias: np.ndarray) -> np.ndarray:
+        if not len(self.begin):
+            return np.zeros((0, len(bias)))
+        return np.add.reduceat(self.t.of_words(scores)[self.t.b.words], self.begin) / self.whole[:, None] + bias
+
+    def gradient(self, scores: np.ndarray, bias: np.ndarray, y: np.ndarray, c: np.ndarray) -> "Gradient":
+        k, t = len(bias), self.t
+        if not len(self.begin):
+            return Gradient.added([], k)
+        d = (1 / (1 + np.exp(-np.clip(self.outputs(scores, bias), -30, 30))) - y) * c
+        back = (d / self.whole[:, None])[self.unit]
+        words = np.stack([np.bincount(t.b.words, weights=back[:, j], minlength=len(t.first)) for j in range(k)], 1) * t.weight[:, None]
+        at, slot = np.unique(t.b.at, return_inverse=True)
+        every = words[t.word] * t.x
+        return Gradient(at, np.stack([np.bincount(slot, weights=every[:, j], minlength=len(at)) for j in range(k)], 1), d.sum(0), float(c.max(1).sum()))
 
 
 @dataclass
-class Vocabulary:
-    share: dict[str, float]  # of all documents that have the word
-    part: dict[str, int]  # number of each part of these words
+class Gradient:
+    """Sums over texts: what each part adds to the gradient of its scores, the gradient of the bias, the weight."""
+
+    at: np.ndarray
+    g: np.ndarray
+    bias: np.ndarray
+    weight: float
+
+    def pack(self) -> bytes:
+        return np.array([len(self.at), self.weight, *self.bias]).tobytes() + self.at.astype(np.int32).tobytes() + self.g.astype(np.float32).tobytes()
 
     @classmethod
-    def of(cls, counts: list[tuple[str, int]], documents: int) -> "Vocabulary":
-        part: dict[str, int] = {}
-        for w, n in counts:
-            for p, _ in parts(w) if n >= least(documents) else parts(w)[:2]:
-                part.setdefault(p, len(part))
-        return cls({w: n / max(1, documents) for w, n in counts}, part)
-
-    def weight(self, word: str) -> float:
-        return COMMON / (COMMON + self.share.get(word, 0.0))
-
-    def pack(self, words: list[str]) -> tuple[list[int], list[float]]:
-        """Numbers and weights of a text's parts; those without an embedding still take their share of the average."""
-        at: dict[int, float] = {}
-        whole = sum(map(self.weight, words))
-        for w in words:
-            for p, x in parts(w):
-                if (k := self.part.get(p)) is not None:
-                    at[k] = at.get(k, 0.0) + x * self.weight(w) / whole
-        return list(at), list(at.values())
-
-
-Parameters = tuple[np.ndarray, np.ndarray, np.ndarray]  # embeddings, outputs, bias
-
-
-def start(n_parts: int, n_subjects: int) -> Parameters:
-    r = np.random.default_rng(7)
-    return np.zeros((n_parts, WIDTH), np.float32), r.normal(0, 0.5, (WIDTH, n_subjects)).astype(np.float32), np.full(n_subjects, -2.0, np.float32)
-
-
-class Rows:
-    """Packed texts: at, x (parts and weights in a row), n (parts of each text, none without)."""
-
-    def __init__(self, at: np.ndarray, x: np.ndarray, n: np.ndarray) -> None:
-        self.at, self.x = at, x.astype(np.float32)[:, None]
-        self.begin = np.concatenate(([0], np.cumsum(n)[:-1]))
-        self.row = np.repeat(np.arange(len(n)), n)
-        self.order = np.argsort(at, kind="stable")
-        ordered = at[self.order]
-        self.first = np.nonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))[0]
-        self.touched = ordered[self.first]
-        self.row_by_part, self.x_by_part = self.row[self.order], self.x[self.order]
-
-    def hidden(self, p: Parameters) -> np.ndarray:
-        return np.add.reduceat(p[0][self.at] * self.x, self.begin)
-
-    def outputs(self, p: Parameters) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.hidden(p) @ p[1] + p[2], -30, 30)))
-
-    def gradient(self, p: Parameters, y: np.ndarray, c: np.ndarray) -> Parameters:
-        """Summed gradients for targets y with weights c; that of the embeddings for the parts touched."""
-        h = self.hidden(p)
-        d = (1 / (1 + np.exp(-np.clip(h @ p[1] + p[2], -30, 30))) - y) * c
-        back = (d @ p[1].T)[self.row_by_part] * self.x_by_part
-        return np.add.reduceat(back, self.first), h.T @ d, d.sum(0)
-
-
-def _train(packed: DataFrame, teacher: Parameters | None, begin: tuple[Parameters, Parameters], n_subjects: int) -> list:
-    """One synchronisation: each partition's parameters, Adagrad sums and row weight after STEPS steps from the common ones."""
-    sent = packed.sparkSession.sparkContext.broadcast((teacher, begin))
-
-    def local(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = [f for f in frames if len(f)]
-        pdf = pd.concat(held) if held else None
-        if pdf is not None and sent.value[0] is None:
-            pdf = pdf[pdf["label"] >= 0]
-        if pdf is None or not len(pdf):
-            return
-        teacher, (params, sums) = sent.value
-        n = np.concatenate(pdf["n"].to_numpy())
-        rows = Rows(np.concatenate(pdf["at"].to_numpy()).astype(np.int64), np.concatenate(pdf["x"].to_numpy()), n)
-        texts = pdf["n"].map(len).to_numpy()
-        label = pdf["label"].to_numpy()
-        own = np.repeat(np.arange(len(pdf)), texts)
-        y, c = np.zeros((len(n), n_subjects)), np.zeros((len(n), n_subjects))
-        given = label[own] >= 0
-        y[np.nonzero(given)[0], label[own][given]] = 1
-        c[given] = 1
-        if teacher is not None:
-            p = rows.outputs(teacher)
-            share = np.stack([np.bincount(own, weights=p[:, k] > 0.5, minlength=len(pdf)) for k in range(n_subjects)], 1) / texts[:, None]
-            clearly, hardly = share[own] >= CLEARLY, share[own] <= HARDLY
-            y[~given] = (clearly & (p > 0.5))[~given]
-            c[~given] = (np.where(clearly, p > 0.5, hardly & (p < 0.5)) * SENTENCE_WEIGHT)[~given]
-        total = c.max(1).sum()
-        if total == 0:
-            return
-        params, sums = [x.copy() for x in params], [x.copy() for x in sums]
-        y, c = y.astype(np.float32), c.astype(np.float32)
-        for _ in range(STEPS):
-            for q, g, s, at in zip(params, rows.gradient(tuple(params), y, c), sums, (rows.touched, slice(None), slice(None))):
-                g = g / np.float32(total)
-                s[at] += g * g
-                q[at] -= RATE * g / np.sqrt(s[at])
-        state = b"".join(a.astype(np.float32).tobytes() for a in (*params, *sums))
-        yield pd.DataFrame({"weight": [float(total)], "state": [state]})
-
-    return packed.mapInPandas(local, "weight double, state binary").collect()
-
-
-def fit(packed: DataFrame, n_parts: int, n_subjects: int, rounds: int = ROUNDS) -> Parameters:
-    """Parameters after the labelled rows and the rounds of self-training.
-
-    packed: label (-1: a document of the sample), n, at, x by sentence. A synchronisation brings one state per
-    partition (TRAINERS of them, each as large as the parameters) to the driver."""
-    teacher = None
-    for k in range(rounds + 1):
-        params = start(n_parts, n_subjects)
-        sums = tuple(np.full_like(p, 1e-6) for p in params)
-        for _ in range(SYNCS):
-            states = _train(packed, teacher, (params, sums), n_subjects)
-            whole = sum(r["weight"] for r in states)
-            if not whole:
-                return params
-            flat = sum(np.frombuffer(r["state"], np.float32) * (r["weight"] / whole) for r in states)
-            shapes, out, at = [p.shape for p in params], [], 0
-            for shape in shapes + shapes:
-                size = int(np.prod(shape))
-                out.append(flat[at : at + size].reshape(shape).astype(np.float32))
-                at += size
-            params, sums = tuple(out[:3]), tuple(out[3:])
-        teacher = params
-    return teacher
-
-
-class _Known(dict):
-    """Token to row number; new tokens are looked up once."""
-
-    def __init__(self, scorer: "Scorer") -> None:
-        super().__init__()
-        self.scorer = scorer
+    def unpack(cls, data: bytes, k: int) -> "Gradient":
+        head = np.frombuffer(data, np.float64, 2 + k)
+        n, at = int(head[0]), 8 * (2 + k)
+        return cls(np.frombuffer(data, np.int32, n, at), np.frombuffer(data, np.float32, n * k, at + 4 * n).reshape(n, k).astype(float), head[2:].copy(), float(head[1]))
 
-    def __missing__(self, token: str) -> int:
-        k = self[token] = self.scorer.row(token)
-        return k
+    @classmethod
+    def added(cls, some: list["Gradient"], k: int) -> "Gradient":
+        if not some:
+            return cls(np.zeros(0, np.int64), np.zeros((0, k)), np.zeros(k), 0.0)
+        at, back = np.unique(np.concatenate([s.at for s in some]), return_inverse=True)
+        every = np.concatenate([s.g for s in some])
+        g = np.stack([np.bincount(back, weights=every[:, j], minlength=len(at)) for j in range(k)], 1)
+        return cls(at, g, sum(s.bias for s in some), sum(s.weight for s in some))
 
 
-class Scorer:
-    """Shares of the subjects in texts, by a fitted model."""
+class Model:
+    """Embeddings, outputs and bias with their Adagrad sums."""
 
-    def __init__(self, vocabulary: Vocabulary, params: Parameters) -> None:
-        self.v, self.bias = vocabulary, params[2]
-        self.scores = params[0] @ params[1]  # the outputs are linear in the average, so each part has its own
-        self.reset()
+    def __init__(self, n_subjects: int) -> None:
+        r = np.random.default_rng(7)
+        self.embeddings = np.zeros((3 * BUCKETS, WIDTH), np.float32)
+        self.outputs = r.normal(0, 0.5, (WIDTH, n_subjects)).astype(np.float32)
+        self.bias = np.full(n_subjects, -2.0, np.float32)
+        self.sums = [np.full_like(p, 1e-6) for p in (self.embeddings, self.outputs, self.bias)]
 
-    def reset(self) -> None:
-        self.known = _Known(self)
-        # row 0: no word at all; row 1: words that nothing is known of
-        self.rows = [np.zeros(len(self.bias) + 1), np.concatenate(([1.0], np.zeros(len(self.bias))))]
+    def scores(self) -> np.ndarray:
+        """What each part adds to the outputs."""
+        return self.embeddings @ self.outputs
 
-    def row(self, token: str) -> int:
-        """Number of the row with a token's weight and what it adds to the outputs."""
-        w = token.strip(_MARKS).lower()
-        if _PLAIN.fullmatch(w) and not _SEQUENCE.search(w):  # most tokens; the rest go through same_words
-            if w != token and w in self.known:
-                return self.known[w]
-            if w not in self.v.share:
-                r, part = f"<{roman(w)}>", self.v.part
-                if r not in part and not any(r[i : i + GRAM] in part for i in range(len(r) - GRAM + 1)):
-                    return 1
-            words = [w]
-        else:
-            words = same_words(token)
-        if not words:
-            return 0
-        found = []
-        for w in words:
-            weight = self.v.weight(w)
-            found += [(k, weight * x) for p, x in parts(w) if (k := self.v.part.get(p)) is not None]
-        if not found and len(words) == 1:
-            return 1
-        out = np.zeros(len(self.bias) + 1)
-        out[0] = sum(map(self.v.weight, words))
-        for k, x in found:
-            out[1:] += x * self.scores[k]
-        self.rows.append(out)
-        return len(self.rows) - 1
-
-    def shares(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Share of the sentences of each subject, and the number of sentences (words where there are no marks)."""
-        if len(self.known) > 500_000:  # bounds the memory of a worker
-            self.reset()
-        get, n_subjects = self.known.__getitem__, len(self.bias)
-        ids: list[int] = []
-        ends, owner, windowed = [], [], []
-        for i, t in enumerate(texts):
-            if not t:
-                continue
-            if "[" in t or ": " in t:
-                t = _NOISE.sub(" ", t)
-            pieces = [p for p in (s.split() for s in _SENTENCE.split(t)) if p]
-            long = len(pieces) == 1 and len(pieces[0]) > 2 * WINDOW
-            for p in pieces:
-                ids.extend(map(get, p))
-                ends.append(len(ids))
-                owner.append(i)
-                windowed.append(long)
-        hits, count = np.zeros((len(texts), n_subjects)), np.zeros(len(texts), dtype=np.int64)
-        if not ids:
-            return hits, count
-        run = np.zeros((len(ids) + 1, n_subjects + 1))
-        np.cumsum(np.array(self.rows)[ids], axis=0, out=run[1:])
-        end, own, win = np.array(ends), np.array(owner), np.array(windowed)
-        begin = np.concatenate(([0], end[:-1]))
-        size = end - begin
-        # every sentence as one stretch, every word of unmarked text as the stretch around it
-        plain = (size > 0) & ~win
-        wide = np.nonzero((size > 0) & win)[0]
-        at = np.concatenate([np.arange(begin[j], end[j]) for j in wide]) if len(wide) else np.zeros(0, int)
-        first, last = np.repeat(begin[wide], size[wide]), np.repeat(end[wide], size[wide])
-        lo = np.concatenate((begin[plain], np.maximum(first, at - WINDOW // 2)))
-        hi = np.concatenate((end[plain], np.minimum(last, at + WINDOW // 2 + 1)))
-        text = np.concatenate((own[plain], np.repeat(own[wide], size[wide])))
-        s = run[hi] - run[lo]
-        hit = (s[:, 1:] / np.maximum(s[:, :1], 1e-9) + self.bias > 0) & (s[:, :1] > 0)
-        for k in range(n_subjects):
-            hits[:, k] = np.bincount(text, weights=hit[:, k], minlength=len(texts))
-        count = np.bincount(text, minlength=len(texts))
-        return hits / np.maximum(count, 1)[:, None], count
+    def step(self, g: Gradient) -> None:
+        """One Adagrad step by a gradient already divided by its weight."""
+        rows = (g.at, slice(None), slice(None))
+        grads = (g.g @ self.outputs.T, self.embeddings[g.at].T @ g.g, g.bias)
+        for p, s, at, d in zip((self.embeddings, self.outputs, self.bias), self.sums, rows, grads):
+            d = d.astype(np.float32)
+            s[at] += d * d
+            p[at] -= RATE * d / np.sqrt(s[at])
+
+
+def mixed(examples: Gradient, sentences: Gradient, k: int) -> Gradient:
+    """The mean gradient of the examples and that of the sentences, by SENTENCES_SHARE."""
+    a = (1 - SENTENCES_SHARE if sentences.weight else 1.0) / max(examples.weight, 1e-9)
+    b = SENTENCES_SHARE / sentences.weight if sentences.weight else 0.0
+    return Gradient.added([Gradient(examples.at, examples.g * a, examples.bias * a, 1.0), Gradient(sentences.at, sentences.g * b, sentences.bias * b, 1.0)], k)
 
 
-def learn(docs: DataFrame, examples: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "subject", example_text: str = "text") -> tuple[list[str], Vocabulary, Parameters]:
-    """Subjects, vocabulary and parameters, from at most MAX_EXAMPLES labelled rows and a sample of the documents."""
-    given = examples.select(F.col(label_col).alias("label"), F.col(example_text).alias("t")).where("label is not null and t is not null").limit(MAX_EXAMPLES)
-    texts = docs.select(F.col(id_col).alias("d"), F.col(text_col).alias("t")).where("d is not null and t is not null")
-    n = texts.count()
-    span = 1 << 30
-    sample = texts.where(F.pmod(F.xxhash64("d"), F.lit(span)) < int(span * min(1.0, SAMPLE_DOCUMENTS / max(1, n))))
-    split = cut(given.select("label", "t").unionAll(sample.select(F.lit(None).cast("string").alias("label"), "t")).repartition(TRAINERS))
-    subjects = [r["label"] for r in split.select("label").where("label is not null").distinct().orderBy("label").collect()]
-    number = {s: k for k, s in enumerate(subjects)}
-
-    def words(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        df: Counter = Counter()
-        forms = _Forms()
+def pseudo(texts: Texts, units: Units, teacher: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Targets and weights of the units by the teacher's outputs on them and on their documents."""
+    scores, bias = teacher
+    p = units.outputs(scores, bias) > 0
+    if not len(p):
+        return p.astype(np.float32), p.astype(np.float32)
+    n = np.maximum(np.bincount(units.own, minlength=texts.documents), 1)
+    share = np.stack([np.bincount(units.own, weights=p[:, k], minlength=texts.documents) for k in range(len(bias))], 1)[units.own] / n[units.own][:, None]
+    clearly, hardly = share >= CLEARLY, share <= HARDLY
+    return (clearly & p).astype(np.float32), np.where(clearly, p, hardly & ~p).astype(np.float32)
+
+
+BLOCK_SCHEMA = "words array<int>, n array<int>, own array<int>, long array<boolean>, size array<int>, at array<int>"
+
+
+def _rows(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, Block]]:
+    for pdf in frames:
+        for r in pdf.itertuples(index=False):
+            yield r.ids, Block(*(np.asarray(x, dtype=bool if name == "long" else np.int32) for name, x in zip(("words", "n", "own", "long", "size", "at"), (r.words, r.n, r.own, r.long, r.size, r.at))))
+
+
+def pack(texts: DataFrame) -> DataFrame:
+    """Blocks of the texts (columns d, t) by slice s, written to the shared folder and read from there.
+
+    Slice -1 has one row of each task: how many of its documents have a word of each bucket (at, n), and how many
+    there are (own)."""
+    spark, kind = texts.sparkSession, dict(texts.dtypes)["d"]
+    path = f"{shared_folder(spark)}/subjects-{uuid.uuid4().hex}"
+
+    def blocks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forms, counts, documents = Forms(), np.zeros(BUCKETS, np.int64), 0
         for pdf in frames:
-            for t in pdf["t"]:
-                df.update({w for token in set(t.split()) for w in forms[token]})
-            if len(df) > 500_000:  # bounds the memory of a worker
-                yield pd.DataFrame(df.items(), columns=["w", "n"])
-                df.clear()
-                forms.clear()
-        if df:
-            yield pd.DataFrame(df.items(), columns=["w", "n"])
-
-    # how many of all documents have a word; names and the like, in very few of them, say nothing
-    common = texts.select("t").mapInPandas(words, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
-    in_examples = given.select("t").mapInPandas(words, "w string, n long").select("w").distinct().withColumn("given", F.lit(True))
-    counts = common.join(F.broadcast(in_examples), "w", "left").where(F.col("given") | (F.col("n") >= least(n))).orderBy("w").collect()
-    vocabulary = Vocabulary.of([(r["w"], r["n"]) for r in counts], n)
-    sent = docs.sparkSession.sparkContext.broadcast((vocabulary, number))
-
-    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        v, number = sent.value
+            if len(forms) > 300_000:  # bounds the memory of a worker
+                forms = Forms()
+            for s, part in pdf.groupby("s"):
+                for _, some in part.groupby(part["t"].map(len).cumsum() // BLOCK):
+                    b = Block.of(list(some["t"]), forms)
+                    counts += np.bincount(b.buckets(), minlength=BUCKETS)
+                    documents += len(some)
+                    yield pd.DataFrame({"s": [s], "ids": [some["d"].to_numpy()], "words": [b.words], "n": [b.n], "own": [b.own], "long": [b.long], "size": [b.size], "at": [b.at]})
+        if documents:
+            has = np.nonzero(counts)[0]
+            none = np.zeros(0, np.int32)
+            yield pd.DataFrame({"s": [-1], "ids": [none], "words": [none], "n": [counts[has]], "own": [np.array([documents])], "long": [none.astype(bool)], "size": [none], "at": [has]})
+
+    sliced = texts.select(F.pmod(F.xxhash64("d"), F.lit(STEPS)).cast("int").alias("s"), "d", "t")
+    schema = f"s int, ids array<{kind}>, {BLOCK_SCHEMA}"
+    sliced.mapInPandas(blocks, schema).write.partitionBy("s").parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
+def weights(packed: DataFrame) -> np.ndarray:
+    """Weight of a word by its bucket, from all documents that have it."""
+    own = packed.where("s = -1")
+    documents = own.select(F.sum(F.get("own", F.lit(0)).cast("long"))).first()[0] or 0
+    has = own.select(F.explode(F.arrays_zip("at", "n")).alias("x")).groupBy("x.at").agg(F.sum(F.col("x.n").cast("long")).alias("n")).collect()
+    share = np.zeros(BUCKETS)
+    for r in has:  # at most BUCKETS
+        share[r["at"]] = r["n"] / documents
+    return (COMMON / (COMMON + share)).astype(np.float32)
+
+
+def summed(blocks: DataFrame, teacher: Broadcast, student: Broadcast, k: int) -> Gradient:
+    """The gradient of all sentences in the blocks; partitions' sums are added up FAN_IN at a time."""
+
+    def own(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        idf, scores, bias = teacher.value
+        some: list[Gradient] = []
+        for _, b in _rows(frames):
+            t = Texts(b, idf)
+            u = Units(t)
+            some.append(u.gradient(*student.value, *pseudo(t, u, (scores, bias))))
+            if len(some) == FAN_IN:
+                some = [Gradient.added(some, k)]
+        if some:
+            yield pd.DataFrame({"g": [Gradient.added(some, k).pack()]})
+
+    def add(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = Gradient.added([], k)
         for pdf in frames:
-            rows = []
-            for label, t in zip(pdf["label"], pdf["t"]):
-                # an example is one text, as its label is for the whole; a document is its sentences
-                found = sentences(t) if label is None else [same_words(_NOISE.sub(" ", t))]
-                packed = [(a, b) for a, b in (v.pack(s) for s in found if s) if a]  # a text of unknown words says nothing
-                if packed:
-                    rows.append((-1 if label is None else number[label], [len(a) for a, _ in packed], [k for a, _ in packed for k in a], [x for _, b in packed for x in b]))
-            if rows:
-                yield pd.DataFrame(rows, columns=["label", "n", "at", "x"])
-
-    packed = cut(split.mapInPandas(pack, "label int, n array<int>, at array<int>, x array<float>"))
-    return subjects, vocabulary, fit(packed, len(vocabulary.part), len(subjects))
+            for g in pdf["g"]:
+                total = Gradient.added([total, Gradient.unpack(g, k)], k)
+        yield pd.DataFrame({"g": [total.pack()]})
+
+    n, sums = blocks.rdd.getNumPartitions(), blocks.mapInPandas(own, "g binary")
+    while n > FAN_IN:
+        n = -(-n // FAN_IN)
+        sums = sums.repartition(n).mapInPandas(add, "g binary")
+    return Gradient.added([Gradient.unpack(r["g"], k) for r in sums.collect()], k)
+
+
+def fit(packed: DataFrame, examples: Block, labels: np.ndarray, idf: np.ndarray, k: int) -> Model:
+    """The model after the examples and the rounds of self-training."""
+    sc = packed.sparkSession.sparkContext
+    own = Units(Texts(examples, idf))
+    y = np.zeros((len(own.own), k))
+    y[np.arange(len(own.own)), labels[own.own]] = 1
+    given = lambda m: own.gradient(m.scores(), m.bias, y, np.ones_like(y))
+    model = Model(k)
+    for _ in range(EXAMPLE_STEPS):
+        model.step(mixed(given(model), Gradient.added([], k), k))
+    for _ in range(ROUNDS):
+        teacher = sc.broadcast((idf, model.scores(), model.bias.copy()))
+        for s in range(STEPS):
+            student = sc.broadcast((model.scores(), model.bias.copy()))
+            model.step(mixed(given(model), summed(packed.where(F.col("s") == s), teacher, student, k), k))
+            student.destroy()
+        teacher.destroy()
+    return model
+
+
+def learn(docs: DataFrame, examples: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "subject", example_text: str = "text") -> tuple[DataFrame, list[str], np.ndarray, Model]:
+    """Packed documents, subjects, word weights and model, from at most MAX_EXAMPLES labelled rows and all documents."""
+    given = examples.select(F.col(label_col).cast("string").alias("label"), F.col(example_text).alias("t")).where("label is not null and t is not null")
+    rows = given.orderBy(F.xxhash64("label", "t"), "label", "t").limit(MAX_EXAMPLES).collect()
+    subjects = sorted({r["label"] for r in rows})
+    packed = pack(docs.select(F.col(id_col).alias("d"), F.col(text_col).alias("t")).where("d is not null and t is not null"))
+    idf = weights(packed)
+    # an example is one text, as its label is for the whole
+    block = Block.of([r["t"] for r in rows], Forms(), whole=True)
+    labels = np.array([subjects.index(r["label"]) for r in rows], dtype=np.int64)
+    return packed, subjects, idf, fit(packed, block, labels, idf, len(subjects)) if subjects else Model(0)
 
 
 def subject_shares(docs: DataFrame, examples: DataFrame, id_col: str = "doc_id", text_col: str = "text", **columns: str) -> DataFrame:
     """id_col, subject, share, n_sentences for every document and subject with a share above 0."""
-    subjects, vocabulary, params = learn(docs, examples, id_col, text_col, **columns)
-    sent = docs.sparkSession.sparkContext.broadcast((vocabulary, params))
-    held: list[Scorer] = []
+    packed, subjects, idf, model = learn(docs, examples, id_col, text_col, **columns)
+    sent = docs.sparkSession.sparkContext.broadcast((idf, model.scores(), model.bias))
 
     def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if not held:
-            held.append(Scorer(*sent.value))
-        for pdf in frames:
-            for a in range(0, len(pdf), 2_000):
-                share, count = held[0].shares(list(pdf["t"][a : a + 2_000]))
-                i, k = np.nonzero(share)
-                if not len(i):
-                    continue
-                yield pd.DataFrame({"d": pdf["d"].to_numpy()[a + i], "subject": [subjects[x] for x in k], "share": share[i, k], "n_sentences": count[i]})
-
-    rows = docs.select(F.col(id_col).alias("d"), F.col(text_col).alias("t")).where("d is not null and t is not null")
-    out = rows.mapInPandas(score, f"d {dict(rows.dtypes)['d']}, subject string, share double, n_sentences long")
-    return out.withColumnRenamed("d", id_col)
+        idf, scores, bias = sent.value
+        for ids, b in _rows(frames):
+            share, count = Texts(b, idf).shares(scores, bias)
+            i, k = np.nonzero(share)
+            if len(i):
+                yield pd.DataFrame({"d": ids[i], "subject": [subjects[x] for x in k], "share": share[i, k], "n_sentences": count[i]})
+
+    kind = dict(docs.dtypes)[id_col]
+    out = packed.where("s >= 0") if subjects else packed.where("false")
+    return out.mapInPandas(score, f"d {kind}, subject string, share double, n_sentences long").withColumnRenamed("d", id_col)
 
 
 def subjects_of(docs: DataFrame, examples: DataFrame, id_col: str = "doc_id", text_col: str = "text", **columns: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import os
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -59,7 +60,7 @@ def sentence(r, topic):
     return " ".join(words)
 
 
-def test_subjects(spark):
+def test_subjects(spark, monkeypatch):
     r = random.Random(5)
     examples = [(k, t, ". ".join(sentence(r, t if r.random() < 0.8 else None) for _ in range(3))) for k, t in enumerate(list(TOPICS) * 12)] + [(99, None, "x"), (98, "sea", None)]
     docs, want = [], set()
@@ -76,4 +77,29 @@ def test_subjects(spark):
     hit = len(set(got) & want)
     assert len(got) == len(set(got)) and hit / len(got) > 0.93 and hit / len(want) > 0.93
     assert not {d for d, _ in got} & {900, 901, 902, 903}
+    # the same whatever the partitions, and however their gradients are added up
+    monkeypatch.setattr(subjects, "FAN_IN", 2)
+    again = {(x["doc_id"], x["subject"]) for x in subjects.subjects_of(df.repartition(7), ex).collect()}
+    assert len(again ^ set(got)) <= 2
     assert subjects.subjects_of(df.limit(0), ex).count() == 0 and subjects.subjects_of(df, ex.limit(0)).count() == 0
+
+
+def test_gradient():
+    """What partitions hand back is the derivative of the loss by each part's scores."""
+    texts = ["wave harbour. the boat went there", "cloud and wind", "", "we paint"]
+    b = subjects.Block.of(texts, subjects.Forms())
+    u = subjects.Units(subjects.Texts(b, np.full(subjects.BUCKETS, 0.5, np.float32)))
+    r = np.random.default_rng(1)
+    scores, bias = r.normal(size=(3 * subjects.BUCKETS, 2)), r.normal(size=2)
+    y, c = r.integers(0, 2, (len(u.own), 2)).astype(float), r.random((len(u.own), 2))
+
+    def loss(s):
+        p = 1 / (1 + np.exp(-u.outputs(s, bias)))
+        return -(c * (y * np.log(p) + (1 - y) * np.log(1 - p))).sum()
+
+    g = subjects.Gradient.unpack(u.gradient(scores, bias, y, c).pack(), 2)
+    assert len(u.own) == 4 and list(u.own) == [0, 0, 1, 3]
+    for k in (0, 3, len(g.at) - 1):
+        moved = scores.copy()
+        moved[g.at[k], 1] += 1e-4
+        assert (loss(moved) - loss(scores)) / 1e-4 == pytest.approx(g.g[k, 1], abs=1e-3)

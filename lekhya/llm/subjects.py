@@ -30,9 +30,10 @@ from __future__ import annotations
 import re
 import unicodedata
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from hashlib import blake2b
+from functools import reduce
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -109,36 +110,61 @@ def roman(word: str) -> str:
     return out
 
 
-def _hash(part: str, kind: int) -> int:
-    return kind * BUCKETS + int.from_bytes(blake2b(part.encode(), digest_size=4).digest(), "little") % BUCKETS
+def _bucket(part: bytes, kind: int) -> int:
+    return kind * BUCKETS + crc32(part) % BUCKETS
 
 
-def parts(word: str) -> tuple[int, ...]:
-    """Numbers of a word's parts: the word's own first, then its sound's, then its n-grams'."""
-    r = f"<{roman(word)}>"
-    grams = [r[i : i + GRAM] for i in range(len(r) - GRAM + 1)] if len(r) > GRAM else []
-    return (_hash(word, 0), _hash(r, 1), *(_hash(g, 2) for g in grams))
+def gram_buckets(sounds: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the n-grams of all sounds in a row, and how many each sound has: none where it is no longer than one."""
+    length = np.fromiter(map(len, sounds), dtype=np.int64, count=len(sounds))
+    n = np.where(length > GRAM, length - GRAM + 1, 0)
+    codes = np.frombuffer(b"".join(sounds), dtype=np.uint8).astype(np.uint32)
+    if not n.sum():
+        return np.zeros(0, np.int32), n
+    h = np.zeros(len(codes) - GRAM + 1, np.uint32)
+    with np.errstate(over="ignore"):
+        for k in range(GRAM):
+            h = h * np.uint32(16777619) + codes[k : k + len(h)]
+        h ^= h >> np.uint32(15)
+        h *= np.uint32(2246822519)
+    begin = np.cumsum(length) - length
+    at = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    return (2 * BUCKETS + (h[at] >> np.uint32(8)) % BUCKETS).astype(np.int32), n
 
 
 class Forms(dict):
-    """Token to the numbers of its words; words: each one's parts."""
+    """Token to the number of its word; a token of no word or of several to a number below 0 (see several).
+
+    words: each one's word bucket, sound bucket and sound."""
 
     def __init__(self) -> None:
         super().__init__()
-        self.words: list[tuple[int, ...]] = []
+        self.words: list[tuple[int, int, bytes]] = []
         self.number: dict[str, int] = {}
+        self.several: list[list[int]] = []
 
     def _of(self, word: str) -> int:
         k = self.number.get(word)
         if k is None:
             k = self.number[word] = len(self.words)
-            self.words.append(parts(word))
+            sound = f"<{roman(word)}>".encode()
+            self.words.append((_bucket(word.encode(), 0), _bucket(sound, 1), sound))
         return k
 
-    def __missing__(self, token: str) -> list[int]:
+    def __missing__(self, token: str) -> int:
         w = token.strip(_MARKS).lower()
         plain = _PLAIN.fullmatch(w) and not _SEQUENCE.search(w)  # most tokens; the rest go through same_words
-        out = self[token] = [self._of(x) for x in ([w] if plain else same_words(token))]
+        found = [self._of(x) for x in ([w] if plain else same_words(token))]
+        if len(found) != 1:
+            self.several.append(found)
+        out = self[token] = found[0] if len(found) == 1 else -len(self.several)
+        return out
+
+    def of(self, tokens: list[str]) -> list[int]:
+        """Numbers of the words of these tokens."""
+        out = list(map(self.__getitem__, tokens))
+        if out and min(out) < 0:
+            return [k for x in out for k in ((x,) if x >= 0 else self.several[-x - 1])]
         return out
 
 
@@ -168,19 +194,37 @@ class Block:
             wide = not whole and len(pieces) == 1 and len(pieces[0]) > 2 * WINDOW
             long.append(wide)
             for p in pieces:
-                begin = len(words)
-                for token in p:
-                    words.extend(forms[token])
-                m = len(words) - begin
-                if m:
+                found = forms.of(p)
+                words.extend(found)
+                if m := len(found):
                     n.extend([1] * m if wide else [m])
                     own.extend([i] * (m if wide else 1))
         held, back = np.unique(np.array(words, dtype=np.int64), return_inverse=True)
         of = [forms.words[k] for k in held]
-        size = np.fromiter(map(len, of), dtype=np.int32, count=len(of))
-        at = np.fromiter((p for w in of for p in w), dtype=np.int32, count=int(size.sum()))
+        grams, n_grams = gram_buckets([sound for _, _, sound in of])
+        size = (n_grams + 2).astype(np.int32)
+        first = np.cumsum(size, dtype=np.int64) - size
+        at = np.empty(int(size.sum()), np.int32)
+        rest = np.ones(len(at), bool)
+        for k in (0, 1):
+            at[first + k] = [w[k] for w in of]
+            rest[first + k] = False
+        at[rest] = grams
         return cls(back.astype(np.int32), np.array(n, np.int32), np.array(own, np.int32), np.array(long, bool), size, at)
 
+    def pack(self) -> bytes:
+        """Widths and lengths of the arrays, then these, each in the narrowest unsigned type."""
+        parts = [a.astype(np.min_scalar_type(int(a.max()) if len(a) else 0)) for a in (self.words, self.n, self.own, self.long.view(np.uint8), self.size, self.at)]
+        return np.array([(a.itemsize, len(a)) for a in parts], np.int64).tobytes() + b"".join(a.tobytes() for a in parts)
+
+    @classmethod
+    def unpack(cls, data: bytes) -> "Block":
+        at, out = 96, []
+        for width, n in np.frombuffer(data, np.int64, 12).reshape(6, 2):
+            out.append(np.frombuffer(data, f"u{width}", int(n), at).astype(np.int32))
+            at += int(width * n)
+        return cls(*out[:3], out[3].astype(bool), *out[4:])
+
     def buckets(self) -> np.ndarray:
         """Word buckets of each document, each once."""
         first = self.at[np.cumsum(self.size) - self.size]
@@ -326,20 +370,16 @@ def pseudo(texts: Texts, units: Units, teacher: tuple[np.ndarray, np.ndarray]) -
     return (clearly & p).astype(np.float32), np.where(clearly, p, hardly & ~p).astype(np.float32)
 
 
-BLOCK_SCHEMA = "words array<int>, n array<int>, own array<int>, long array<boolean>, size array<int>, at array<int>"
-
-
 def _rows(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, Block]]:
     for pdf in frames:
-        for r in pdf.itertuples(index=False):
-            yield r.ids, Block(*(np.asarray(x, dtype=bool if name == "long" else np.int32) for name, x in zip(("words", "n", "own", "long", "size", "at"), (r.words, r.n, r.own, r.long, r.size, r.at))))
+        for ids, data in zip(pdf["ids"], pdf["block"]):
+            yield ids, Block.unpack(data)
 
 
 def pack(texts: DataFrame) -> DataFrame:
     """Blocks of the texts (columns d, t) by slice s, written to the shared folder and read from there.
 
-    Slice -1 has one row of each task: how many of its documents have a word of each bucket (at, n), and how many
-    there are (own)."""
+    Slice -1 has one row of each task: how many of its documents have a word of each bucket, then how many there are."""
     spark, kind = texts.sparkSession, dict(texts.dtypes)["d"]
     path = f"{shared_folder(spark)}/subjects-{uuid.uuid4().hex}"
 
@@ -353,27 +393,38 @@ def pack(texts: DataFrame) -> DataFrame:
                     b = Block.of(list(some["t"]), forms)
                     counts += np.bincount(b.buckets(), minlength=BUCKETS)
                     documents += len(some)
-                    yield pd.DataFrame({"s": [s], "ids": [some["d"].to_numpy()], "words": [b.words], "n": [b.n], "own": [b.own], "long": [b.long], "size": [b.size], "at": [b.at]})
+                    yield pd.DataFrame({"s": [s], "ids": [list(some["d"])], "block": [b.pack()]})
         if documents:
-            has = np.nonzero(counts)[0]
-            none = np.zeros(0, np.int32)
-            yield pd.DataFrame({"s": [-1], "ids": [none], "words": [none], "n": [counts[has]], "own": [np.array([documents])], "long": [none.astype(bool)], "size": [none], "at": [has]})
+            yield pd.DataFrame({"s": [-1], "ids": [None], "block": [np.append(counts, documents).tobytes()]})
 
     sliced = texts.select(F.pmod(F.xxhash64("d"), F.lit(STEPS)).cast("int").alias("s"), "d", "t")
-    schema = f"s int, ids array<{kind}>, {BLOCK_SCHEMA}"
+    schema = f"s int, ids array<{kind}>, block binary"
     sliced.mapInPandas(blocks, schema).write.partitionBy("s").parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
+def _tree(sums: DataFrame, n: int, add: Callable[[bytes, bytes], bytes]) -> bytes | None:
+    """The sum of a binary column's values over n partitions (one value each), FAN_IN of them added up by one task."""
+    (name,) = sums.columns
+
+    def some(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = [g for pdf in frames for g in pdf[name]]
+        if held:
+            yield pd.DataFrame({name: [reduce(add, held)]})
+
+    while n > FAN_IN:
+        n = -(-n // FAN_IN)
+        sums = sums.repartition(n).mapInPandas(some, f"{name} binary")
+    rows = [bytes(r[0]) for r in sums.collect()]
+    return reduce(add, rows) if rows else None
+
+
 def weights(packed: DataFrame) -> np.ndarray:
     """Weight of a word by its bucket, from all documents that have it."""
-    own = packed.where("s = -1")
-    documents = own.select(F.sum(F.get("own", F.lit(0)).cast("long"))).first()[0] or 0
-    has = own.select(F.explode(F.arrays_zip("at", "n")).alias("x")).groupBy("x.at").agg(F.sum(F.col("x.n").cast("long")).alias("n")).collect()
-    share = np.zeros(BUCKETS)
-    for r in has:  # at most BUCKETS
-        share[r["at"]] = r["n"] / documents
-    return (COMMON / (COMMON + share)).astype(np.float32)
+    own = packed.where("s = -1").select("block")
+    counts = _tree(own, own.rdd.getNumPartitions(), lambda a, b: (np.frombuffer(a, np.int64) + np.frombuffer(b, np.int64)).tobytes())
+    n = np.frombuffer(counts, np.int64) if counts else np.ones(BUCKETS + 1)
+    return (COMMON / (COMMON + n[:-1] / n[-1])).astype(np.float32)
 
 
 def summed(blocks: DataFrame, teacher: Broadcast, student: Broadcast, k: int) -> Gradient:
@@ -391,18 +442,8 @@ def summed(blocks: DataFrame, teacher: Broadcast, student: Broadcast, k: int) ->
         if some:
             yield pd.DataFrame({"g": [Gradient.added(some, k).pack()]})
 
-    def add(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = Gradient.added([], k)
-        for pdf in frames:
-            for g in pdf["g"]:
-                total = Gradient.added([total, Gradient.unpack(g, k)], k)
-        yield pd.DataFrame({"g": [total.pack()]})
-
-    n, sums = blocks.rdd.getNumPartitions(), blocks.mapInPandas(own, "g binary")
-    while n > FAN_IN:
-        n = -(-n // FAN_IN)
-        sums = sums.repartition(n).mapInPandas(add, "g binary")
-    return Gradient.added([Gradient.unpack(r["g"], k) for r in sums.collect()], k)
+    total = _tree(blocks.mapInPandas(own, "g binary"), blocks.rdd.getNumPartitions(), lambda a, b: Gradient.added([Gradient.unpack(a, k), Gradient.unpack(b, k)], k).pack())
+    return Gradient.unpack(total, k) if total else Gradient.added([], k)
 
 
 def fit(packed: DataFrame, examples: Block, labels: np.ndarray, idf: np.ndarray, k: int) -> Model:

@@ -4,14 +4,16 @@ Q-gram lemma filtering. Texts are brought to plain characters (no case, punctuat
 every item the character q-grams that few items share are kept, and from the item itself follows how many of them
 the shortest passage that counts must still have after its allowed edits. Documents' q-grams are looked up in
 blocks, hits are counted per item in overlapping bands of diagonals (document position minus item position), and
-only regions whose band reaches that number are verified by a banded alignment of words.
+only regions whose band reaches that number are retained. Each is verified by an alignment of words in its own band
+of diagonals, widened by what edits may shift.
 
 A passage counts if at least MIN_WORDS consecutive words of the item, first and last matching, stand in the document
 with at most one edit (word replaced, dropped or put in) per EDIT_PER words. Words written apart or together match.
 
-The items are a fixed, small set of held-out texts: more than MAX_ITEMS are refused rather than broadcast. Null or
-empty texts hold nothing. Items of fewer than MIN_WORDS words count when held whole. Documents are read whole, each
-copy by itself; extra columns are ignored; empty tables give an empty result.
+Items are taken ITEM_BLOCK at a time, so that the index that is broadcast stays bounded however many there are; all
+documents are searched for each block of items. Null or empty texts hold nothing. Items of fewer than MIN_WORDS words
+count when held whole. Documents are read whole, each copy by itself; a very long one in windows that overlap by more
+than the longest item. Extra columns are ignored; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -32,7 +35,10 @@ Q, MIN_WORDS, EDIT_PER = 6, 10, 8
 BAND = 48
 #: A q-gram shared by more items than this isn't counted.
 SHARED = 6
-MAX_ITEMS = 20_000
+#: Items that are searched for at a time (by hash of the id, so about as many).
+ITEM_BLOCK = 20_000
+#: Characters that are searched at a time.
+WINDOW = 2_000_000
 _BASE = 0x9E3779B97F4A7C15 | 1
 _FILTER_BITS = 22
 _NOISE = re.compile(r"\[\d\d:\d\d(?::\d\d)?\]|^[A-Z]: ", re.M)
@@ -113,23 +119,31 @@ class Items:
         h, item, pos = h[ok], text_h[ok], pos[ok]
         holders = pd.DataFrame({"h": h, "i": item}).drop_duplicates().groupby("h").size()
         few = holders.reindex(h).to_numpy() <= SHARED if len(h) else np.zeros(0, dtype=bool)
-        self.need = np.array([self._need(k, set(pos[few & (item == k)].tolist())) for k in range(len(rows))], dtype=np.int64)
-        weak = np.isin(item, np.nonzero(self.need < 2)[0])  # too few rare q-grams: all of them are counted
+        # the items' words in plain characters: where each begins, all items in a row
+        flat = [x for w in self.words for x in w]
+        of = np.repeat(np.arange(len(rows)), list(map(len, self.words))) if rows else np.zeros(0, int)
+        size = np.bincount(plain(flat)[1], minlength=len(flat)) if flat else np.zeros(0, int)
+        cut = np.searchsorted(of, np.arange(len(rows) + 1))
+        self.ends = [np.concatenate(([0], np.cumsum(size[a:b]))) for a, b in zip(cut, cut[1:])]
+        by_item = np.searchsorted(item, np.arange(len(rows) + 1))  # q-grams stand in order of their items
+        places = [pos[a:b] for a, b in zip(by_item, by_item[1:])]
+        self.need = np.array([self._need(k, p[few[a:b]]) for k, (p, a, b) in enumerate(zip(places, by_item, by_item[1:]))], dtype=np.int64)
+        scarce = np.nonzero(self.need < 2)[0]
+        weak = np.isin(item, scarce)  # too few rare q-grams: all of them are counted
         use = few | weak
-        for k in np.nonzero(self.need < 2)[0]:
-            self.need[k] = max(1, self._need(k, set(pos[item == k].tolist())))
+        for k in scarce:
+            self.need[k] = max(1, self._need(k, places[k]))
         order = np.argsort(h[use], kind="stable")
         self.h, self.item, self.pos = h[use][order], item[use][order].astype(np.int32), pos[use][order].astype(np.int64)
         self.filter = np.zeros(1 << _FILTER_BITS, dtype=bool)
         self.filter[(self.h >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
 
-    def _need(self, k: int, positions: set[int]) -> int:
+    def _need(self, k: int, positions: np.ndarray) -> int:
         """The fewest counted q-grams left in any shortest passage of the item after its edits."""
-        codes, _ = zip(*[plain([w]) for w in self.words[k]])
-        ends = np.cumsum([0, *map(len, codes)])
+        ends = self.ends[k]
         n, best = len(self.words[k]), 10**9
         has = np.zeros(int(ends[-1]) + 1, dtype=np.int64)
-        has[[p for p in positions if p < len(has)]] = 1
+        has[positions[positions < len(has)]] = 1
         total = np.concatenate(([0], np.cumsum(has)))
 
         def count(a: int, b: int) -> int:  # q-grams inside characters a..b
@@ -144,8 +158,8 @@ class Items:
                 best = min(best, count(a, int(ends[e])) + count(int(ends[e + 1]), b))
         return best
 
-    def candidates(self, texts: list[str]) -> list[tuple[int, int]]:
-        """(text, item) whose counted q-grams in one band reach the item's number."""
+    def candidates(self, texts: list[str]) -> list[tuple[int, int, int, int]]:
+        """(text, item, from, to): ranges of diagonals whose bands reach the item's number of q-grams."""
         codes, text = plain(texts)
         h = grams(codes)
         if not len(h) or not len(self.h):
@@ -168,81 +182,77 @@ class Items:
             total = counts[inverse]
         keep = total >= self.need[item]
         flat, item, doc, spot = flat[keep], item[keep], doc[keep], np.repeat(at, n)[keep]
-        band = (spot - self.pos[flat]) // (BAND // 2)
+        begin = np.searchsorted(text, np.arange(len(texts)))
+        band = (spot - begin[doc] - self.pos[flat]) // (BAND // 2)
         # the same q-gram of an item counts once in a band
         p = pd.DataFrame({"d": doc, "i": item, "b": band, "p": self.pos[flat]})
         p = pd.concat([p, p.assign(b=p["b"] - 1)]).drop_duplicates()
-        got = p.groupby(["d", "i", "b"], sort=False).size().reset_index(name="n")
+        got = p.groupby(["d", "i", "b"]).size().reset_index(name="n")
         got = got[got["n"].to_numpy() >= self.need[got["i"].to_numpy()]]
-        return list(got[["d", "i"]].drop_duplicates().itertuples(index=False, name=None))
-
-    def holds(self, words: list[str], k: int) -> bool:
-        """Whether the words hold a passage of the item."""
-        item = self.words[k]
-        least = min(MIN_WORDS, len(item))
-        joined = f" {' '.join(words)} "
-        if any(f" {' '.join(item[a : a + least])} " in joined for a in range(len(item) - least + 1)):
+        out: list[tuple[int, int, int, int]] = []
+        for d, i, b in got[["d", "i", "b"]].itertuples(index=False, name=None):
+            x, y = b * (BAND // 2), b * (BAND // 2) + BAND
+            if out and out[-1][:2] == (d, i) and out[-1][3] >= x:
+                out[-1] = (d, i, out[-1][2], y)  # bands that overlap are one region
+            else:
+                out.append((d, i, x, y))
+        return out
+
+    def holds(self, words: list[str], starts: np.ndarray, k: int, lo: int, hi: int) -> bool:
+        """Whether a passage of the item stands in the words on the diagonals lo..hi. starts: where each word begins,
+        in plain characters."""
+        item, ends = self.words[k], self.ends[k]
+        if len(item) == 1:
+            return item[0] in words
+        a, b = np.searchsorted(starts, [lo - BAND, hi + int(ends[-1]) + BAND])
+        region, least = words[a:b], min(MIN_WORDS, len(item))
+        joined = f" {' '.join(region)} "
+        if any(f" {' '.join(item[x : x + least])} " in joined for x in range(len(item) - least + 1)):
             return True  # word for word
-        return passage(item, words) >= least
+        return stretch(item, region, ends[:-1], starts[a:b], lo - BAND, hi + BAND) >= least
 
 
-def passage(item: list[str], words: list[str]) -> int:
+def stretch(item: list[str], words: list[str], at: np.ndarray, starts: np.ndarray, lo: int, hi: int) -> int:
     """Words of the longest stretch of the item that stands in the words within the edits allowed.
 
-    Aligned in bands around the places where the item's pairs of words occur."""
-    m, n = len(item), len(words)
-    pairs: dict[tuple[str, str], list[int]] = {}
-    for i in range(m - 1):
-        pairs.setdefault((item[i], item[i + 1]), []).append(i)
-    if m == 1:
-        return int(item[0] in words)
-    seen: dict[int, set[int]] = {}
-    for j, p in enumerate(zip(words, words[1:])):
-        for i in pairs.get(p, ()):
-            seen.setdefault(j - i, set()).add(i)
-    starts = sorted(seen)
-    # of the pairs of words in a shortest passage an edit breaks two, and so does other spacing
-    least = min(MIN_WORDS, m) - 1 - 2 * (min(MIN_WORDS, m) // EDIT_PER) - 2
-    best, done = 0, -(10**9)
-    for s in starts:
-        if s < done:
-            continue
-        end, held = s, set(seen[s])
-        for x in starts:
-            if end < x <= end + m // EDIT_PER + 1:
-                end = x
-                held |= seen[x]
-        done = end + 1
-        if len(held) < least:
-            continue
-        a = max(0, s - m // EDIT_PER - 1)
-        best = max(best, _stretch(item, words[a : end + m + m // EDIT_PER + 1]))
-    return best
+    Word i of the item (begins at at[i]) may meet word j (begins at starts[j]) only where starts[j] - at[i] lies in
+    lo..hi; what lies outside this band is never looked at."""
+    m, far = len(item), 10**9
+    first = np.searchsorted(starts, at + lo, "left") + 1
+    last = np.searchsorted(starts, at + hi, "right")
+    costs: list[list[int]] = [[]]
+    steps: list[list[str]] = [[]]
+    base, top = [0, *first.tolist()], [0, *last.tolist()]
+
+    def cost(i: int, j: int) -> int:
+        if i == 0:
+            return 0  # the passage may start anywhere in the region
+        if j == 0:
+            return i
+        return costs[i][j - base[i]] if base[i] <= j <= top[i] else far
 
-
-def _stretch(item: list[str], words: list[str]) -> int:
-    m, n = len(item), len(words)
-    cost = [[j for j in range(n + 1)]] + [[i] + [0] * n for i in range(1, m + 1)]
-    cost[0] = [0] * (n + 1)  # the passage may start anywhere in the region
-    step = [[""] * (n + 1) for _ in range(m + 1)]
     for i in range(1, m + 1):
-        w, up, row = item[i - 1], cost[i - 1], cost[i]
-        for j in range(1, n + 1):
+        w, row, how_row = item[i - 1], [], []
+        costs.append(row)
+        steps.append(how_row)
+        for j in range(base[i], top[i] + 1):
             x = words[j - 1]
-            c, how = (up[j - 1], "=") if w == x else (up[j - 1] + 1, "x")
-            if up[j] + 1 < c:
-                c, how = up[j] + 1, "-"
-            if row[j - 1] + 1 < c:
-                c, how = row[j - 1] + 1, "+"
-            if j > 1 and len(w) > len(x) and w == words[j - 2] + x and row is not up and up[j - 2] <= c:
-                c, how = up[j - 2], "2"
-            if i > 1 and len(x) > len(w) and x == item[i - 2] + w and cost[i - 2][j - 1] <= c:
-                c, how = cost[i - 2][j - 1], "1"
-            row[j], step[i][j] = c, how
-    i, j = m, min(range(n + 1), key=lambda j: cost[m][j])
+            c, how = (cost(i - 1, j - 1), "=") if w == x else (cost(i - 1, j - 1) + 1, "x")
+            if (up := cost(i - 1, j) + 1) < c:
+                c, how = up, "-"
+            if (left := cost(i, j - 1) + 1 if j > base[i] or j == 1 else far) < c:
+                c, how = left, "+"
+            if j > 1 and len(w) > len(x) and w == words[j - 2] + x and cost(i - 1, j - 2) <= c:
+                c, how = cost(i - 1, j - 2), "2"
+            if i > 1 and len(x) > len(w) and x == item[i - 2] + w and cost(i - 2, j - 1) <= c:
+                c, how = cost(i - 2, j - 1), "1"
+            row.append(c)
+            how_row.append(how)
+    # a passage that ends before the item does leaves the band's last rows: the best end of any row will do
+    i, j = min(((i, j) for i in range(1, m + 1) for j in range(base[i], top[i] + 1)), key=lambda e: (cost(*e) + m - e[0], -e[0]), default=(0, 0))
     path = []  # per item word: matched, edits before it
-    while i and j:
-        how = step[i][j]
+    while i and j and base[i] <= j <= top[i]:
+        how = steps[i][j - base[i]]
         if how in ("=", "2"):
             path.append("=")
             i, j = i - 1, j - (2 if how == "2" else 1)
@@ -272,32 +282,66 @@ def _stretch(item: list[str], words: list[str]) -> int:
     return best
 
 
-def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """Pairs (id_col, item_id) of a document and an item of which it holds a passage."""
+def windows(text: str, overlap: int) -> list[str]:
+    """The text in windows of WINDOW characters that end between words and overlap by at least so much."""
+    if len(text) <= WINDOW:
+        return [text]
+    out, a = [], 0
+    while True:
+        b = a + max(WINDOW, 4 * overlap)
+        while b < len(text) and not text[b].isspace():
+            b += 1
+        out.append(text[a:b])
+        if b >= len(text):
+            return out
+        a = b - overlap
+        while a > 0 and not text[a - 1].isspace():
+            a -= 1
+
+
+def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", block: int | None = None) -> DataFrame:
+    """Pairs (id_col, item_id) of a document and an item of which it holds a passage. block: items at a time."""
     held = items.select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).where("i is not null and t is not null")
-    rows = held.limit(MAX_ITEMS + 1).collect()
-    if len(rows) > MAX_ITEMS:
-        raise ValueError(f"more than {MAX_ITEMS} items")
+    n = max(1, -(-held.count() // (block or ITEM_BLOCK)))
+    some = [held if n == 1 else held.where(F.pmod(F.xxhash64("i"), F.lit(n)) == k) for k in range(n)]
+    found = [_leaks(docs, s, id_col, text_col).toDF(id_col, item_id) for s in some]
+    return reduce(DataFrame.unionAll, found)
+
+
+def _leaks(docs: DataFrame, held: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Pairs d, i for one block of items."""
     found: list[Items] = []
-    pairs = sorted((r["i"], r["t"]) for r in rows)
-    sent = docs.sparkSession.sparkContext.broadcast(pairs)
+    sent = docs.sparkSession.sparkContext.broadcast(sorted((r["i"], r["t"]) for r in held.collect()))
 
     def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if not found:
             found.append(Items(sent.value))
         index = found[0]
+        overlap = 3 * max((len(t) for _, t in sent.value), default=0) + 1000
         for pdf in frames:
-            ids, out = pdf["d"].to_numpy(), set()
-            texts = [_NOISE.sub(" ", t) if "[" in t or ": " in t else t for t in pdf["t"]]
-            words: dict[int, list[str]] = {}
-            for d, k in index.candidates(texts):
-                if d not in words:
-                    words[d] = same_words(texts[d])
-                if index.holds(words[d], k):
-                    out.add((ids[d], index.ids[k]))
+            owner, texts = [], []
+            for d, t in zip(pdf["d"], pdf["t"]):
+                for w in windows(_NOISE.sub(" ", t) if "[" in t or ": " in t else t, overlap):
+                    owner.append(d)
+                    texts.append(w)
+            out: set = set()
+            pieces = np.cumsum([len(t) for t in texts]) // WINDOW
+            for a, b in zip(*(np.searchsorted(pieces, np.unique(pieces), side) for side in ("left", "right"))):
+                some, words = texts[a:b], {}
+                for d, k, lo, hi in index.candidates(some):
+                    if (owner[a + d], index.ids[k]) in out:
+                        continue
+                    if d not in words:
+                        w = same_words(some[d])
+                        size = np.bincount(plain(w)[1], minlength=len(w)) if w else np.zeros(0, int)
+                        # words keep nearly the same characters as the text; where not, the band is widened
+                        words[d] = w, np.cumsum(size) - size, abs(int(size.sum()) - len(plain([some[d]])[0]))
+                    w, starts, slack = words[d]
+                    if index.holds(w, starts, k, lo - slack, hi + slack):
+                        out.add((owner[a + d], index.ids[k]))
             if out:
                 yield pd.DataFrame(sorted(out), columns=["d", "i"])
 
     kinds = dict(docs.select(F.col(id_col).alias("d")).dtypes) | dict(held.dtypes)
     texts = docs.select(F.col(id_col).alias("d"), F.col(text_col).alias("t")).where("d is not null and t is not null")
-    return texts.mapInPandas(search, f"d {kinds['d']}, i {kinds['i']}").toDF(id_col, item_id)
+    return texts.mapInPandas(search, f"d {kinds['d']}, i {kinds['i']}")

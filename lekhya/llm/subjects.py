@@ -61,7 +61,7 @@ SENTENCES_SHARE = 0.9
 #: Self-training: a document has a subject clearly from this share, and hardly up to that.
 CLEARLY, HARDLY = 0.2, 0.1
 #: Sums of gradients that one task, or the driver, adds up.
-FAN_IN = 64
+FAN_IN = 16
 #: Characters of the texts that are packed into one block (a longer text is one by itself).
 BLOCK = 4_000_000
 _SENTENCE = re.compile(r"[.!?।॥\n\r]+")

@@ -99,4 +99,27 @@ def test_leaks(spark):
     want = {(d, k) for d, w in docs for k, t in items[:30] if brute(t.split(), w) >= 10}
     assert len(got) == len(set(got)) and len(want) > 20
     assert len(set(got) - want) <= 0.03 * len(want) and len(want - set(got)) <= 0.03 * len(want)
+    # the same with the items in blocks and the texts in windows
+    assert {tuple(x) for x in leakage.leaks(df, it, block=7).collect()} == set(got)
+    long = " ".join(" ".join(w) for _, w in docs * 3)
+    whole = spark.createDataFrame([(1, long)], "doc_id long, text string")
+    once = {x["item_id"] for x in leakage.leaks(whole, it).collect()}
+    small = leakage.WINDOW
+    leakage.WINDOW = 3_000
+    pieces = leakage.windows(long, 500)
+    leakage.WINDOW = small
+    assert len(pieces) > 5 and all(p in long for p in pieces) and pieces[-1] == long[-len(pieces[-1]) :] and {k for _, k in got} <= once
     assert leakage.leaks(df.limit(0), it).count() == 0 and leakage.leaks(df, it.limit(0)).count() == 0
+
+
+def test_more_items_than_a_block():
+    """The index is made of sorted slices: 20 000 items and more are no matter of minutes."""
+    import time
+
+    r = random.Random(2)
+    words = ["".join(r.choices("abcdefghijklmnop", k=6)) for _ in range(5_000)]
+    rows = [(k, " ".join(r.choices(words, k=12))) for k in range(20_500)]
+    began = time.time()
+    index = leakage.Items(rows)
+    assert time.time() - began < 60 and len(index.ids) == 20_500 and index.need.min() > 1
+    assert {(d, k) for d, k, _, _ in index.candidates([rows[7][1], "x y", "say " + rows[20_400][1] + " so"])} == {(0, 7), (2, 20_400)}

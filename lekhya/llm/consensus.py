@@ -190,21 +190,24 @@ def agreement_matrix(pairs: DataFrame, by_chance: float) -> DataFrame:
     return both.select("*", F.greatest(F.lit(0.0), (agree - by_chance) / (1 - by_chance)).alias("x"), (F.col("n") / (F.col("n") + 100)).alias("trust"))
 
 
-def leading_eigenvector(matrix: DataFrame, steps: int = 8, every: int = 4) -> DataFrame:
+def leading_eigenvector(matrix: DataFrame, steps: int = 8) -> DataFrame:
     """a, v: leading eigenvector of x, scaled so that x(a, b) is about v(a) v(b); power iteration by joins.
 
     The matrix has no diagonal, and some pairs count for less (trust) or are missing; each entry is therefore
-    divided by the vector's own weight over the pairs present, which makes up for diagonal and overlaps alike.
-    Lineage is cut now and then."""
-    v = matrix.select("a").distinct().select("a", F.lit(0.9).alias("v"))
-    for k in range(1, steps + 1):
-        met = matrix.join(v.select(F.col("a").alias("b"), F.col("v").alias("vb")), "b")
-        new = met.groupBy("a").agg((F.sum(F.col("trust") * F.col("x") * F.col("vb")) / F.sum(F.col("trust") * F.col("vb") * F.col("vb"))).alias("w"))
+    divided by the vector's own weight over the pairs present, which makes up for diagonal and overlaps alike. An
+    entry's old value comes along on the diagonal, so that a step is one join and one aggregation and the plan grows
+    by as much with each."""
+    old = F.lit(None).cast("double")
+    links = matrix.select("a", "b", "x", "trust").unionAll(matrix.select("a").distinct().select("a", F.col("a").alias("b"), old, old))
+    links = cut(links)
+    v = links.where("a = b").select("a", F.lit(0.9).alias("v"))
+    for _ in range(steps):
+        met = links.join(v.select(F.col("a").alias("b"), F.col("v").alias("vb")), "b")
+        found = F.sum(F.col("trust") * F.col("x") * F.col("vb")) / F.sum(F.col("trust") * F.col("vb") * F.col("vb"))
+        own = F.max(F.when(F.col("a") == F.col("b"), F.col("vb")))
         # the mean of old and new entry keeps the iteration from swinging between two scales
-        v = v.join(new, "a").select("a", ((F.col("v") + F.coalesce("w", "v")) / 2).alias("v"))
-        if k % every == 0 or k == steps:
-            v = cut(v)
-    return v
+        v = met.groupBy("a").agg(((own + F.coalesce(found, own)) / 2).alias("v"))
+    return cut(v)
 
 
 def reliabilities(slots: DataFrame, rounds: int = 2) -> tuple[list[tuple[str, float, float]], dict[tuple[str, str], float]]:

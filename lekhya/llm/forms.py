@@ -64,11 +64,32 @@ def look_form(c: Column) -> Column:
     Composed and decomposed marks stay as stored; a Unicode collation treats them alike. Null stays null.
     """
     out = F.translate(c, LOOK_FROM + INVISIBLE, LOOK_TO)
+    mapped = out
     for a, b in (*LIGATURES, *NUKTA, *SEQUENCES):
-        out = F.replace(out, F.lit(a), F.lit(b))
+        mapped = F.replace(mapped, F.lit(a), F.lit(b))
+    # few texts have any of these, and one pattern tells which
+    return F.when(out.rlike("|".join(a for a, _ in (*LIGATURES, *NUKTA, *SEQUENCES))), mapped).otherwise(out)
+
+
+def _bases() -> dict[str, str]:
+    """Composed letters with the letter they are built on, by canonical decomposition."""
+    out = {}
+    for c in (*range(0xC0, 0xAC00), *range(0xF900, 0x10000)):
+        d = unicodedata.decomposition(chr(c))
+        if d and not d.startswith("<"):
+            out[chr(c)] = unicodedata.normalize("NFD", chr(c))[0]
     return out
 
 
+_BASES = _bases()
+
+
+def rough_form(c: Column) -> Column:
+    """A key that texts which are alike under a Unicode collation share: base letters alone, no marks, digits or Hangul
+    (whose syllables are several letters otherwise stored). Others may share it, too."""
+    return F.regexp_replace(F.translate(c, "".join(_BASES), "".join(_BASES.values())), r"[^\p{L}]|\p{IsHangul}", "")
+
+
 _MAP = str.maketrans(dict(zip(LOOK_FROM, LOOK_TO)) | dict.fromkeys(INVISIBLE))
 _PUNCT = re.compile(r"[^\w\sऀ-ॣ०-ॿ̀-ͯ]|_")
 

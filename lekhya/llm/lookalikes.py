@@ -3,7 +3,8 @@
 Texts are mapped to one form of every look-alike letter and sequence, full-width form and kind of space, and
 grouped in SQL under an accent-sensitive, case-sensitive Unicode collation, which takes composed and decomposed
 marks as equal and invisible characters as absent. Each class gets a deterministic canonical member (the stored
-text nearest to its mapped form, then the smallest), which is joined back.
+text nearest to its mapped form, then the smallest), which is joined back. Only texts that share their base letters
+with another one of their group can have a twin; the collation, which is dear, sees no others.
 
 The collation also equates digits of different scripts, which don't look the same; the mapped form's digits are
 therefore part of the class. Nulls (in the group or any text) belong to no class. Empty texts form a class of their
@@ -15,7 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lekhya.llm.forms import look_form
+from lekhya.llm.forms import look_form, rough_form
+from lekhya.llm.run import cut
 
 COLLATION = "UNICODE"
 
@@ -30,7 +32,10 @@ def variants(df: DataFrame, group_col: str, texts: list[str]) -> DataFrame:
     names = [f"t{i}" for i in range(len(texts))]
     forms = one.groupBy("g", *names).agg(F.count("*").alias("n"))
     forms = forms.select("*", *[look_form(F.col(t)).alias(f"m{t[1:]}") for t in names])
-    forms = forms.select("*", *[_digits(F.col(f"m{t[1:]}")).alias(f"d{t[1:]}") for t in names])
+    forms = forms.withColumn("rough", F.xxhash64("g", *[rough_form(F.col(f"m{t[1:]}")) for t in names]))
+    shared = forms.groupBy("rough").agg(F.count("*").alias("k")).where("k > 1").select("rough")
+    # used twice from here on: written once
+    forms = cut(forms.join(shared, "rough", "left_semi").drop("rough").select("*", *[_digits(F.col(f"m{t[1:]}")).alias(f"d{t[1:]}") for t in names]))
     ix = range(len(texts))
     keys = ", ".join([f"collate(m{i}, '{COLLATION}')" for i in ix] + [f"d{i}" for i in ix])
     far = " + ".join(f"if(t{i} = m{i}, 0, 1 + length(t{i}))" for i in ix)
@@ -84,7 +89,7 @@ def pairs(df: DataFrame, id_col: str, group_col: str, texts: list[str]) -> DataF
     names = [f"t{i}" for i in range(len(texts))]
     v = variants(df, group_col, texts)
     rows = df.select(F.col(id_col).alias("id"), F.col(group_col).alias("g"), *[F.col(t).alias(f"t{i}") for i, t in enumerate(texts)])
-    members = rows.join(v, ["g", *names]).select("id", "g", F.struct(*names).alias("t"), F.struct(*[f"c{i}" for i in range(len(texts))]).alias("c"))
+    members = cut(rows.join(v, ["g", *names]).select("id", "g", F.struct(*names).alias("t"), F.struct(*[f"c{i}" for i in range(len(texts))]).alias("c")))
     a = members.select("g", "c", F.col("id").alias("id_a"), F.col("t").alias("ta"))
     b = members.select("g", "c", F.col("id").alias("id_b"), F.col("t").alias("tb"))
     return a.join(b, ["g", "c"]).where("id_a < id_b and ta <> tb").select("id_a", "id_b")

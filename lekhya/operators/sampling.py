@@ -6,14 +6,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Rows that one task numbers, about.
+BLOCK_ROWS = 1_000_000
+
+
 def shuffle_key(id_col: str, seed: int = 42) -> Column:
-    return F.xxhash64(F.col(id_col), F.lit(seed))
+    """A seeded order that any engine with md5 can repeat."""
+    return F.md5(F.concat(F.col(id_col).cast("string"), F.lit(f":{seed}")))
 
 
-def numbered(df: DataFrame, *order: Column | str, name: str = "rn", blocks: int = 64) -> DataFrame:
+def numbered(df: DataFrame, *order: Column | str, name: str = "rn", blocks: int | None = None) -> DataFrame:
     """df with its position (1..) in a total order, without one task holding all rows.
 
-    Rows are range-partitioned, sorted and numbered inside each partition, and partitions' sizes are summed."""
+    Rows are range-partitioned (a block for about BLOCK_ROWS of them), sorted and numbered inside each partition, and
+    partitions' sizes are summed."""
+    blocks = blocks or max(8, -(-df.count() // BLOCK_ROWS))
     cols = [F.col(o) if isinstance(o, str) else o for o in order]
     part = df.repartitionByRange(blocks, *cols).withColumn("_b", F.spark_partition_id())
     inside = part.withColumn("_k", F.row_number().over(Window.partitionBy("_b").orderBy(*cols)))
@@ -57,7 +64,8 @@ def stratified_sample(df: DataFrame, size: str, id_col: str, target: int, k: int
     counted = {r["stratum"]: r["count"] for r in held.groupBy("stratum").count().collect()}  # k rows
     take = quotas([counted.get(s, 0) for s in range(k)], target)
     quota = F.array(*[F.lit(t) for t in take])
-    ranked = held.withColumn("_h", h).withColumn("_r", F.row_number().over(Window.partitionBy("stratum").orderBy("_h", id_col)))
+    # no stratum can give more than target rows: tasks cut theirs down to as many before they are brought together
+    ranked = held.withColumn("_h", h).withColumn("_r", F.row_number().over(Window.partitionBy("stratum").orderBy("_h", id_col))).where(F.col("_r") <= target)
     first = (F.col("_r") <= F.get(quota, F.col("stratum"))).cast("int")
     return ranked.orderBy(first.desc(), "_h", id_col).limit(target).orderBy("_h", id_col).drop("_h", "_r")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lekhya.functions.repetition import collapse_loops, repetition_metrics
 from lekhya.functions.text import comparison_tokens, digits, normalize_spaces, words
+from lekhya.operators.sampling import numbered
 from lekhya.operators.wer import longest_unmatched, overlap_ratio, token_distance
 
 # Classes, their tags and what helps against them.
@@ -69,9 +70,15 @@ def classify(measured: DataFrame) -> DataFrame:
 
 
 def ranked(classified: DataFrame, id_col: str) -> DataFrame:
-    """Rows with their rank in the class, worst first (ties by id), and the size of the class."""
-    by = Window.partitionBy("category")
-    return classified.select("*", F.row_number().over(by.orderBy(F.desc("token_wer_proxy"), id_col)).alias("rank"), F.count("*").over(by).alias("class_size"))
+    """Rows with their rank in the class, worst first (ties by id), and the size of the class.
+
+    Rows are numbered over all classes at once, so that no task holds a whole class; sizes are seven rows."""
+    order = classified.withColumn("_worst", -F.col("token_wer_proxy"))
+    sizes = classified.groupBy("category").agg(F.count("*").alias("class_size"))
+    before = Window.orderBy("category").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("category", "class_size", F.coalesce(F.sum("class_size").over(before), F.lit(0)).alias("_before"))
+    placed = numbered(order, "category", "_worst", id_col).join(sizes, "category")
+    return placed.withColumn("rank", F.col("rn") - F.col("_before")).drop("rn", "_worst", "_before")
 
 
 def worst(classified: DataFrame, id_col: str, k: int = 10) -> DataFrame:

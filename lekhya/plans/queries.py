@@ -209,7 +209,24 @@ def text_digits(spark: SparkSession, d: str) -> DataFrame:
 # --- repetition, clean-up -----------------------------------------------------------------------------------------
 
 
-@query()
+def loops_sql(rows: str, longest: int = 8) -> str:
+    """CTEs for rows (id, w: token list), ending in metrics(id, repeated_token_ratio, max_token_run, max_ngram_repeat).
+
+    For every unit length the tokens that equal the one a unit later form islands; a loop starts where an island holds
+    two more units. Loops are taken from the left, of the longest unit first, and the next is looked for behind."""
+    return f"""tk as (select id, i, w[i] t, len(w) n, w from (select id, w, unnest(range(1, len(w) + 1)) i from {rows})),
+ un as (select unnest(range(1, {longest + 1})) u),
+ nx as (select id, i, u, min(case when i + u > n or w[i + u] <> t then i end) over (partition by id, u order by i rows between current row and unbounded following) stop from tk, un),
+ cd as (select id, i, max(u) u, arg_max((stop - i) // u + 1, u) c from nx where (stop - i) // u + 1 >= 3 group by id, i),
+ lp as (with recursive g as (select id, min(i) i, arg_min(u, i) u, arg_min(c, i) c from cd group by id
+   union all select x.id, x.i, x.u, x.c from (select cd.id, min(cd.i) i, arg_min(cd.u, cd.i) u, arg_min(cd.c, cd.i) c from cd join g on cd.id = g.id and cd.i >= g.i + g.u * g.c group by cd.id) x) select * from g),
+ ls as (select id, sum(u * c) inside, max(c) copies from lp group by id),
+ rn as (select id, max(stop - i + 1) run from nx where u = 1 group by id),
+ metrics as (select r.id, case when len(r.w) > 0 then coalesce(inside, 0) / len(r.w) else 0.0 end::double repeated_token_ratio, coalesce(run, 0)::int max_token_run,
+   case when len(r.w) > 0 then coalesce(copies, 1) else 0 end::int max_ngram_repeat from {rows} r left join ls on ls.id = r.id left join rn on rn.id = r.id)"""
+
+
+@query(f"with s as (select example_id id, {spaces_sql('before')} x from {FINAL}), rows as (select id, {tokens_sql('x')} w from s), {loops_sql('rows')} select id example_id, repeated_token_ratio, max_token_run, max_ngram_repeat from metrics")
 def repetition_blocks(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, FINAL).select("example_id", text.whitespace_tokens(F.col("before")).alias("w"))
     return t.select("example_id", repetition.repetition_metrics(F.col("w")).alias("m")).select("example_id", "m.*")
@@ -418,27 +435,54 @@ def _classified(spark: SparkSession, d: str) -> DataFrame:
     return taxonomy.classify(taxonomy.with_metrics(rows))
 
 
-@query()
+def _classes_sql() -> str:
+    chars = lambda c: f"string_split(replace({c}, ' ', ''), '')"
+    digit = lambda c: f"regexp_extract_all(coalesce({c}, ''), '\\p{{Nd}}[\\p{{Nd}},]*')"
+    names = ", ".join(f"({k}, {_q(a)}, {_q(b)}, {_q(f)})" for k, (a, b, f) in enumerate(taxonomy.CLASSES))
+    return f"""with src as (select example_id id, before prediction, reference from {FINAL} where before is distinct from reference),
+ tx as (select id, {spaces_sql('prediction')} p, {spaces_sql('reference')} r, {comparison_sql('prediction')} a, {comparison_sql('reference')} b from src),
+ rows as (select id, {tokens_sql('p')} w from tx), {loops_sql('rows')},
+ x as (select id, t, count(*) n from (select id, unnest(a) t from tx) group by all), y as (select id, t, count(*) n from (select id, unnest(b) t from tx) group by all),
+ ov as (select x.id, sum(least(x.n, y.n)) s from x join y using (id, t) group by 1),
+ ur as (select y.id, max(len(t)) m from y left join x using (id, t) where y.n > coalesce(x.n, 0) group by 1), up as (select x.id, max(len(t)) m from x left join y using (id, t) where x.n > coalesce(y.n, 0) group by 1),
+ ms as (select src.id example_id, prediction, reference, len(b)::int ref_tokens, len(a)::int pred_tokens, {distance_sql('a', 'b')}::int token_edit_distance,
+   ({distance_sql('a', 'b')} / greatest(len(b), 1))::double token_wer_proxy,
+   ({distance_sql(chars('p'), chars('r'))} / greatest(len(replace(r, ' ', '')), 1))::double char_edit_ratio, (len(a) / greatest(len(b), 1))::double length_ratio,
+   case when len(b) > 0 then coalesce(ov.s, 0) / len(b) else 0.0 end::double overlap_ratio, repeated_token_ratio, max_token_run, max_ngram_repeat,
+   {digit('prediction')} <> {digit('reference')} digit_mismatch, coalesce(ur.m, 0)::int max_unmatched_ref_length, coalesce(up.m, 0)::int max_unmatched_pred_length
+   from src join tx using (id) join metrics using (id) left join ov using (id) left join ur using (id) left join up using (id)),
+ cl as (select *, case when repeated_token_ratio >= 0.18 or max_token_run >= 4 or max_ngram_repeat >= 3 or length_ratio >= 1.55 then 0 when digit_mismatch then 1 when length_ratio <= 0.78 then 2
+   when overlap_ratio >= 0.7 and char_edit_ratio <= 0.35 and length_ratio between 0.85 and 1.2 then 3 when overlap_ratio >= 0.45 and greatest(max_unmatched_ref_length, max_unmatched_pred_length) >= 6 then 4
+   when overlap_ratio >= 0.35 then 5 else 6 end k from ms),
+ nm(k, category, tag, fix) as (values {names}),
+ fin as (select cl.* exclude (k), category, tag, fix from cl join nm using (k))"""
+
+
+_CLASSES = _classes_sql()
+_RANKED = " select category, row_number() over (partition by category order by token_wer_proxy desc, example_id) as rank, count(*) over (partition by category) class_size, example_id, token_wer_proxy from fin"
+
+
+@query(_CLASSES + " select * exclude (fix) from fin")
 def taxonomy_classes(spark: SparkSession, d: str) -> DataFrame:
     return _classified(spark, d)
 
 
-@query()
+@query(_CLASSES + f" select category, rank::int as rank, example_id, token_wer_proxy from ({_RANKED}) where rank <= 10")
 def taxonomy_worst(spark: SparkSession, d: str) -> DataFrame:
     return taxonomy.worst(_classified(spark, d), "example_id").select("category", "rank", "example_id", "token_wer_proxy")
 
 
-@query()
+@query(_CLASSES + f" select category, rank, class_size, example_id from ({_RANKED})")
 def taxonomy_ranked(spark: SparkSession, d: str) -> DataFrame:
     return taxonomy.ranked(_classified(spark, d), "example_id").select("category", "rank", "class_size", "example_id")
 
 
-@query()
+@query(_CLASSES + " select category, count(*) n, avg(token_wer_proxy) mean_wer from fin group by 1")
 def taxonomy_severity(spark: SparkSession, d: str) -> DataFrame:
     return taxonomy.severity(_classified(spark, d))
 
 
-@query()
+@query(_CLASSES + " select category, n, fix from (select category, count(*) n, any_value(fix) fix, min(example_id) f from fin group by 1) order by n desc, f limit 5")
 def taxonomy_top_fixes(spark: SparkSession, d: str) -> DataFrame:
     return taxonomy.top_fixes(_classified(spark, d), "example_id")
 
@@ -466,17 +510,29 @@ def sample_strata(spark: SparkSession, d: str) -> DataFrame:
     return sampling.strata(table(spark, d, DOCS).where("n_chars is not null").select("doc_id", "n_chars"), "n_chars", "doc_id").select("doc_id", "stratum")
 
 
-@query()
+_KEY_OF = "md5({0}::varchar || ':42')"
+_QUOTA = f"""with t as (select doc_id, n_chars, {_KEY_OF.format('doc_id')} h, row_number() over (order by n_chars, doc_id) rn, count(*) over () n from {DOCS} where n_chars is not null),
+ s as (select *, least(3, (rn - 1) * 4 // n)::int stratum from t), c as (select stratum, count(*) k, any_value(n) n from s group by 1),
+ -- quotas one stratum after the other: its share, at least one, leaving one for each later stratum
+ q0 as (select k, n, least(k, greatest(1, 500 - 3), greatest(1, round_even(500 * k / n, 0))) take from c where stratum = 0),
+ q1 as (select c.k, least(c.k, greatest(1, 500 - q0.take - 2), greatest(1, round_even(500 * c.k / c.n, 0))) take from c, q0 where stratum = 1),
+ q2 as (select c.k, least(c.k, greatest(1, 500 - q0.take - q1.take - 1), greatest(1, round_even(500 * c.k / c.n, 0))) take from c, q0, q1 where stratum = 2),
+ q3 as (select c.k, least(c.k, greatest(1, 500 - q0.take - q1.take - q2.take), greatest(1, round_even(500 * c.k / c.n, 0))) take from c, q0, q1, q2 where stratum = 3),
+ q as (select 0 stratum, take from q0 union all select 1, take from q1 union all select 2, take from q2 union all select 3, take from q3),
+ r as (select s.*, take, row_number() over (partition by s.stratum order by h, doc_id) r from s join q using (stratum))"""
+
+
+@query(_QUOTA + " select doc_id, n_chars, case when n <= 500 then null else stratum end stratum from r order by n > 500 and r <= take desc, h, doc_id limit 500")
 def sample_stratified(spark: SparkSession, d: str) -> DataFrame:
     return sampling.stratified_sample(table(spark, d, DOCS).where("n_chars is not null").select("doc_id", "n_chars"), "n_chars", "doc_id", 500)
 
 
-@query()
+@query(f"select sample_id, word from {Q3} where confidence = 'low' order by {_KEY_OF.format('sample_id')}, sample_id limit 50")
 def sample_hash(spark: SparkSession, d: str) -> DataFrame:
     return sampling.hash_sample(table(spark, d, Q3).where("confidence = 'low'").select("sample_id", "word"), "sample_id", 50)
 
 
-@query()
+@query(f"with t as (select row_idx, row_number() over (order by {_KEY_OF.format('row_idx')}, row_idx) rn, count(*) over () n from {TASK}) select row_idx, case when rn <= greatest(1, least(n - 1, round_even(n * 0.1, 0))) then 'validation' else 'train' end fold from t")
 def sample_split(spark: SparkSession, d: str) -> DataFrame:
     return sampling.split(table(spark, d, TASK).select("row_idx"), "row_idx")
 

@@ -295,7 +295,19 @@ def cleanup_pipeline(spark: SparkSession, d: str) -> DataFrame:
     return cleanup.cleaned(table(spark, d, Q2).select("example_id", "raw_prediction"), "raw_prediction")
 
 
-@query()
+def _lexicon_tag_sql() -> str:
+    lead = f"regexp_extract(t, '{_AFF}')"
+    rest = f"t[len({lead}) + 1:]"
+    trail = f"""regexp_extract({rest}, '[\\)\\]\\}}"''”’।,!?;:]+$')"""
+    return f"""with tk as (select example_id, unnest(ts) t, generate_subscripts(ts, 1) i from (select example_id, regexp_split_to_array(trim({nfkc_sql(repair_sql('raw_prediction'))}, ' '), '[\\s\\v\\x{{1C}}-\\x{{1F}}\\x{{85}}\\p{{Z}}]+') ts from {Q2} where raw_prediction is not null)),
+ ct as (select *, {lead} lead, ({rest})[1:len({rest}) - len({trail})] core, {trail} trail from tk), ks as (select *, replace(core, '़', '') as key from ct),
+ lx as (select distinct replace(suggestion, '़', '') as key, true hindi from {Q3} where suggestion is not null)
+ select example_id, string_agg(case when regexp_matches(t, '\\[EN\\].*\\[/EN\\]') or key = '' then t
+  when regexp_matches(core, '^[A-Za-z]+(?:[-''][A-Za-z]+)*$') or key in ({", ".join(map(_q, english.BORROWED))}) or (hindi is null and regexp_matches(key, '{"|".join(english.HINTS)}')) then lead || '[EN]' || core || '[/EN]' || trail else t end, ' ' order by i) tagged
+ from ks left join lx using (key) group by example_id"""
+
+
+@query(_lexicon_tag_sql())
 def cleanup_lexicon_join(spark: SparkSession, d: str) -> DataFrame:
     hindi = table(spark, d, Q3).where("suggestion is not null").select(F.col("suggestion").alias("word")).distinct()
     return cleanup.tag_with_lexicon(table(spark, d, Q2).where("raw_prediction is not null"), "example_id", "raw_prediction", hindi)
@@ -620,18 +632,64 @@ def similarity_keys(spark: SparkSession, d: str) -> DataFrame:
     return _forms(spark, d).select("w", similarity.comparison_key(F.col("w")).alias("key"))
 
 
-@query()
+def _rough_sql(c: str) -> str:
+    kept = f"string_split(regexp_replace({c}, '{similarity.MATRA_RANGE}', '', 'g'), '')"
+    return f"array_to_string(list_filter({kept}, lambda x, i: i = 1 or x <> ({kept})[i - 1]), '')"
+
+
+def _matra_sql(a: str, b: str) -> str:
+    sk, mt = (lambda c: f"regexp_replace({c}, '[{_DEP}]', '', 'g')"), (lambda c: f"regexp_replace({c}, '[^{similarity.MATRAS}]', '', 'g')")
+    return f"({a} <> '' and {b} <> '' and {a} <> {b} and {sk(a)} = {sk(b)} and {mt(a)} <> {mt(b)})"
+
+
+@query(f"""with p as (select sample_id, {word_sql('word')} a, {word_sql('suggestion')} b from {Q3} where suggestion is not null),
+ k as (select *, (select {_KEY} from (select translate(a, '{text.DEVANAGARI_DIGITS}', '0123456789') d)) x, (select {_KEY} from (select translate(b, '{text.DEVANAGARI_DIGITS}', '0123456789') d)) y, {_sound_sql('a')} s, {_sound_sql('b')} t from p)
+ select sample_id, a <> '' and b <> '' and (x = y or {_rough_sql('x')} = {_rough_sql('y')} or (least(len(a), len(b)) > 2 and levenshtein({_bytes('a')}, {_bytes('b')}) <= 2)) "similar",
+ s <> '' and t <> '' and levenshtein({_bytes('s')}, {_bytes('t')}) <= 1 sounds_like, {_matra_sql('a', 'b')} matra_error from k""")
 def similarity_pairs(spark: SparkSession, d: str) -> DataFrame:
     q = table(spark, d, Q3).where("suggestion is not null").select("sample_id", text.normalize_word(F.col("word")).alias("a"), text.normalize_word(F.col("suggestion")).alias("b"))
     return q.select("sample_id", similarity.similar(F.col("a"), F.col("b")).alias("similar"), similarity.sounds_like(F.col("a"), F.col("b")).alias("sounds_like"), similarity.matra_error(F.col("a"), F.col("b")).alias("matra_error"))
 
 
-@query()
+def _cascade_sql() -> str:
+    found = "case when w = '' then ['empty_after_normalization'] else list_filter([" + ", ".join(f"case when {c} then '{n}' end" for n, c in _ISSUES) + "], lambda x: x is not null) end"
+    words = lambda ws: ", ".join(map(_q, ws))
+    dev, lat = r"regexp_matches(w, '[\x{900}-\x{97F}]')", "regexp_matches(w, '[A-Za-z]')"
+    hard = f"list_has_any(found, [{words(spelling.HARD)}])"
+    two = "array_to_string(found[1:2], ', ')"
+    strong = f"regexp_full_match(w, {_q(english.ROMAN_WORD)}) or w in ({words(spelling.BORROWED)})"
+    return f"""with r as (select sample_id, word, {word_sql('word')} w from {Q3}), ws as (select distinct w from r),
+ lex as (select distinct {word_sql('suggestion')} entry from {Q3} where suggestion is not null and {word_sql('suggestion')} <> ''),
+ b as (select w, {found} found, entry is not null listed, case when {strong} then 'strong' when entry is not null then null when regexp_matches(w, '{"|".join(spelling.HINTS)}') then 'medium' end english from ws left join lex on lex.entry = w),
+ o as (select w from b where english is null and not listed and w <> ''),
+ sf(k, s) as (values {_SUFFIXES}),
+ st as (select w, arg_min(lex.entry, k) stem from o join sf on (s = '' or (ends_with(w, s) and len(w) > len(s) + 1)) join lex on lex.entry = w[1:len(w) - len(s)] group by w),
+ nr as (select w, arg_min(entry, (k, entry)) cand, min(k) dist from (select w, entry, levenshtein({_bytes('w')}, {_bytes('entry')}) k from (select w from o where w not in (select w from st)) join lex on abs(len(w) - len(entry)) <= 2) where k <= 2 group by w),
+ a as (select b.*, stem, cand, dist from b left join st using (w) left join nr using (w)),
+ c as (select *, case when w = '' then 'invalid_pattern' when english = 'strong' and regexp_full_match(w, '[\\x{{00}}-\\x{{7F}}]*') then 'roman_english' when english = 'strong' then 'devanagari_english_strong'
+  when english = 'medium' then 'devanagari_english_medium' when listed then 'exact_dictionary' when stem is not null then 'inflected_dictionary' when {hard} then 'invalid_pattern'
+  when coalesce({_matra_sql('w', 'cand')}, false) then 'matra_match' when cand is not null then 'near_dictionary_match' when {dev} and not {lat} then 'plausible_unknown' else 'unknown_suspicious' end source from a),
+ d as (select w, source, case when source in ('invalid_pattern', 'matra_match', 'near_dictionary_match', 'unknown_suspicious') then 'incorrect_spelling' else 'correct_spelling' end label,
+  case when source in ('exact_dictionary', 'roman_english', 'devanagari_english_strong') then 'high' when source in ('inflected_dictionary', 'devanagari_english_medium', 'matra_match') or (source = 'near_dictionary_match' and dist <= 1) then 'medium' else 'low' end confidence,
+  case source when 'exact_dictionary' then 'Exact match in curated Hindi lexicon.' when 'inflected_dictionary' then 'Matches a common Hindi stem: ' || stem || '.' when 'roman_english' then 'Roman-script English token, treated as correctly spelled.'
+   when 'devanagari_english_strong' then 'Recognized Devanagari spelling of an English borrowing.' when 'devanagari_english_medium' then 'Likely Devanagari form of an English word.'
+   when 'near_dictionary_match' then 'Edit distance match with common Hindi word ' || chr(39) || cand || chr(39) || '.' when 'matra_match' then 'Likely matra/diacritic variant of ' || chr(39) || cand || chr(39) || '.'
+   when 'invalid_pattern' then 'Suspicious Hindi character pattern: ' || case when {two} = '' then 'invalid orthographic pattern' else {two} end || '.'
+   when 'plausible_unknown' then 'Ambiguous form: plausible Hindi spelling but outside curated lexicon.'
+   else 'Unknown token with ambiguous or noisy spelling: ' || case when {two} = '' then 'unknown form' else {two} end || '.' end reason, cand suggestion from c),
+ fin as (select sample_id, word, w normalized_form, case when z then 'incorrect_spelling' else label end label, case when z then 'invalid_pattern' else source end source, case when z then 'low' else confidence end confidence,
+  case when z then 'Suspicious Hindi character pattern: punctuation_contamination.' else reason end reason, case when not z then suggestion end suggestion from (select *, coalesce(regexp_matches(word, '[.,;:!?/\\\\|*_]'), false) z from r join d using (w)))"""
+
+
+_CASCADE = _cascade_sql()
+
+
+@query(_CASCADE + " select * from fin")
 def spelling_cascade(spark: SparkSession, d: str) -> DataFrame:
     return spelling.classify(table(spark, d, Q3).select("sample_id", "word"), "word", _lexicon(spark, d))
 
 
-@query()
+@query(_CASCADE + " select label, confidence, source, count(*) n from fin group by all")
 def spelling_cascade_counts(spark: SparkSession, d: str) -> DataFrame:
     return spelling.counts(spelling_cascade(spark, d), "label", "confidence", "source")
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lekhya.functions.text import content_characters, dominant_fraction, longest_character_run, normalize_transcript, once, words
+from lekhya.operators.sampling import stratified_sample
 
 # Thresholds of the gate (seconds, shares, characters per second).
 MIN_SECONDS, MAX_SECONDS = 0.35, 28.0
@@ -88,6 +89,17 @@ def gate(df: DataFrame, text: str, audio: str | None = None, rate: Column | None
     return out.withColumn("drop_reason", F.coalesce("_cheap", loud)).drop("_seconds", "_cheap", "_m")
 
 
+def first_valid(gated: DataFrame, index: str, n: int = 200) -> DataFrame:
+    """The first n rows of the index order that pass the gate."""
+    return gated.where("drop_reason is null").orderBy(index).limit(n)
+
+
+def training_set(gated: DataFrame, id_col: str, target: int, seed: int = 42) -> DataFrame:
+    """id_col, audio_path, text: target rows that pass the gate, spread over lengths of text, in shuffled order."""
+    kept = gated.where("drop_reason is null").select(id_col, F.col("normalized_text").alias("text"), F.length("normalized_text").alias("size"))
+    return stratified_sample(kept, "size", id_col, target, seed=seed).select(id_col, F.format_string("segment_%06d.wav", id_col).alias("audio_path"), "text")
+
+
 def drop_counts(gated: DataFrame) -> DataFrame:
     """drop_reason ('kept' for kept rows), n."""
     return gated.groupBy(F.coalesce("drop_reason", F.lit("kept")).alias("drop_reason")).agg(F.count("*").alias("n"))

@@ -70,6 +70,16 @@ def stratified_sample(df: DataFrame, size: str, id_col: str, target: int, k: int
     return ranked.orderBy(first.desc(), "_h", id_col).limit(target).orderBy("_h", id_col).drop("_h", "_r")
 
 
+def head(df: DataFrame, index: str, n: int = 100) -> DataFrame:
+    """The first n rows of the index order; tasks keep n rows each before these meet."""
+    return df.orderBy(index).limit(n)
+
+
+def batches(df: DataFrame, index: str, size: int = 8) -> DataFrame:
+    """df with its batch (0..): runs of so many rows in the index order."""
+    return numbered(df, index).withColumn("batch", F.floor((F.col("rn") - 1) / size)).drop("rn")
+
+
 def hash_sample(df: DataFrame, id_col: str, n: int, seed: int = 42) -> DataFrame:
     """The n rows of smallest hash; all if there are no more."""
     return df.orderBy(shuffle_key(id_col, seed), id_col).limit(n)

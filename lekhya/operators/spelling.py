@@ -72,8 +72,8 @@ def stems(words: DataFrame, lexicon: DataFrame) -> DataFrame:
     return tried.join(lexicon, "entry").groupBy("w").agg(F.min_by("entry", "k").alias("stem"))
 
 
-def nearest(words: DataFrame, lexicon: DataFrame, distance: int = 2) -> DataFrame:
-    """w, candidate, distance: the nearest lexicon word (ties by candidate) within the distance.
+def within(words: DataFrame, lexicon: DataFrame, distance: int) -> DataFrame:
+    """w, entry, k: words and lexicon words at most so many edits (k) apart.
 
     Blocks: a pair within d edits of words longer than d shares one of d + 1 pieces of the lexicon word, at a place
     shifted by at most d; shorter lexicon words are met by their length. Both are equi-joins, so the lexicon may
@@ -92,18 +92,21 @@ def nearest(words: DataFrame, lexicon: DataFrame, distance: int = 2) -> DataFram
     near_short = F.expr(f"transform(sequence(greatest(1, length(w) - {d}), greatest(1, least({d}, length(w) + {d}))), n -> concat('#', n))")
     asked = words.where("w <> ''").select("w", F.explode(F.concat(keys, near_short)).alias("block"))
     met = asked.join(long.unionByName(short), "block").where(F.abs(F.length("w") - n) <= d)
-    scored = met.select("w", "entry", F.levenshtein("w", "entry", d).alias("k")).where("k >= 0")
-    best = scored.groupBy("w").agg(F.min(F.struct("k", "entry")).alias("b"))
+    return met.select("w", "entry", F.levenshtein("w", "entry", d).alias("k")).where("k >= 0")
+
+
+def nearest(words: DataFrame, lexicon: DataFrame, distance: int = 2) -> DataFrame:
+    """w, candidate, distance: the nearest lexicon word (ties by candidate) within the distance."""
+    best = within(words, lexicon, distance).groupBy("w").agg(F.min(F.struct("k", "entry")).alias("b"))
     return best.select("w", F.col("b.entry").alias("candidate"), F.col("b.k").alias("distance"))
 
 
 def phonetic_match(words: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """w, candidate: a lexicon word of like sound at fewer than two edits (ties by distance, candidate).
-
-    Candidates have the same sound key or the same first character."""
-    keyed = lambda df, c: df.select(F.col(c), F.explode(F.array_distinct(F.array(F.concat(F.lit("k"), sound_key(F.col(c))), F.concat(F.lit("f"), F.substring(c, 1, 1))))).alias("block"))
-    met = keyed(words.where("w <> ''"), "w").join(keyed(lexicon, "entry"), "block").where(sounds_like(F.col("w"), F.col("entry")))
-    near = met.select("w", "entry", F.levenshtein("w", "entry", 1).alias("k")).where("k >= 0")
+    """w, candidate: a lexicon word of like sound at fewer than two edits (ties by distance, candidate) that has the
+    same sound key or the same first character."""
+    w, e = F.col("w"), F.col("entry")
+    alike = (sound_key(w) == sound_key(e)) | (F.substring("w", 1, 1) == F.substring("entry", 1, 1))
+    near = within(words, lexicon, 1).where(alike & sounds_like(w, e))
     return near.groupBy("w").agg(F.min(F.struct("k", "entry")).alias("b")).select("w", F.col("b.entry").alias("candidate"))
 
 
@@ -243,8 +246,41 @@ def failures(df: DataFrame, index: str, k: int = 10, word: str = "word", predict
     return first.join(n, "kind").select("kind", "n", "rank", F.col(index).alias("index"), F.col(word).alias("word"))
 
 
+#: Why words of a kind of failure are hard to judge.
+WHY = (
+    ("punctuation_or_tokenization_noise", "Marks hold several words together, and the check sees one odd token."),
+    ("code_mixed_or_borrowed_words", "English words in Devanagari look rare to rules that know Hindi words only."),
+    ("over_aggressive_near_match_rules", "A rare but right word is taken for a typing error of a common one near it."),
+    ("rare_valid_words_outside_lexicon", "Names, dialect and rare words are right, but a short word list lacks them."),
+    ("plausible_but_wrong_forms", "The misspelling follows all rules of the script, so no rule objects."),
+    ("matra_or_orthographic_variation", "Vowel signs vary between spellings that readers accept alike."),
+    ("other_ambiguous_forms", "Only the sentence around the word could tell."),
+)
+#: What the accuracy of the reviewed rows means, from which accuracy on.
+TAKEAWAYS = ((0.75, "reasonably_useful", "Unsure decisions are mostly right; borrowed and rare words fail most."), (0.5, "ambiguous", "Unsure decisions are truly open cases; the rules end where context is needed."), (0.0, "unreliable", "Unsure decisions are no better than chance; the rules follow the word list too closely."))
+
+
 def takeaway(accuracy: Column) -> Column:
-    return F.when(accuracy.isNull(), "not_estimated").when(accuracy >= 0.75, "reasonably_useful").when(accuracy >= 0.5, "ambiguous").otherwise("unreliable")
+    """struct(code, meaning); not_estimated without reviewed rows."""
+    out = F.when(accuracy.isNull(), F.struct(F.lit("not_estimated").alias("code"), F.lit("Nothing was reviewed.").alias("meaning")))
+    for least, code, meaning in TAKEAWAYS:
+        out = out.when(accuracy >= least, F.struct(F.lit(code).alias("code"), F.lit(meaning).alias("meaning")))
+    return out
+
+
+def unreliable(failed: DataFrame, kinds: int = 2, words: int = 5) -> DataFrame:
+    """kind, n, why, words: the most frequent kinds of failures() (ties by kind) with their first words."""
+    some = failed.where(F.col("rank") <= words).groupBy("kind", "n").agg(F.array_sort(F.collect_list(F.struct("rank", "word"))).alias("w"))
+    why = F.create_map(*[F.lit(x) for p in WHY for x in p])
+    return some.orderBy(F.desc("n"), "kind").limit(kinds).select("kind", "n", why[F.col("kind")].alias("why"), F.transform("w", lambda x: x["word"]).alias("words"))
+
+
+def ordered_counts(df: DataFrame, label: str = "label", confidence: str = "confidence") -> DataFrame:
+    """place, label, confidence, n in the order of report: labels, then confidences from high to low; others last."""
+    rank = lambda c, *names: F.coalesce(F.create_map(*[F.lit(x) for k, n in enumerate(names) for x in (n, k)])[F.col(c)], F.lit(len(names)))
+    g = df.groupBy(label, confidence).agg(F.count("*").alias("n"))
+    place = rank(label, "correct_spelling", "incorrect_spelling") * 4 + rank(confidence, "high", "medium", "low")
+    return g.select(place.alias("place"), label, confidence, "n").orderBy("place")
 
 
 def counts(df: DataFrame, *by: str) -> DataFrame:

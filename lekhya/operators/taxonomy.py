@@ -22,6 +22,18 @@ CLASSES = (
 )
 
 
+#: Why errors of a class arise, in the order of CLASSES.
+WHY = (
+    "The decoder feeds on its own output, mostly in silence or noise.",
+    "Both texts say the same number in other signs.",
+    "The recording is longer than what the model reads, or decoding stops early.",
+    "The words are the same in another spelling, spacing or punctuation.",
+    "A name or term was seldom heard in training, and a common word takes its place.",
+    "A word that sounds alike fits the language model better.",
+    "What was heard has little to do with what was said.",
+)
+
+
 def with_metrics(df: DataFrame, prediction: str = "prediction", reference: str = "reference") -> DataFrame:
     """df with the thirteen measures of an error. Texts are normalised once, in their own projection."""
     keep = [F.col(c) for c in df.columns]
@@ -92,6 +104,16 @@ def severity(classified: DataFrame) -> DataFrame:
     return classified.groupBy("category").agg(F.count("*").alias("n"), F.avg("token_wer_proxy").alias("mean_wer"))
 
 
+def structured(classified: DataFrame, id_col: str, prediction: str = "prediction", reference: str = "reference", k: int = 10) -> DataFrame:
+    """category, tag, n, why, fix, examples (the k worst rows, worst first, with their texts and measures)."""
+    measures = ["ref_tokens", "pred_tokens", "token_edit_distance", "token_wer_proxy", "char_edit_ratio", "length_ratio", "overlap_ratio", "repeated_token_ratio", "max_token_run", "max_ngram_repeat", "digit_mismatch", "max_unmatched_ref_length", "max_unmatched_pred_length"]
+    shown = F.struct("rank", F.col(id_col).alias("index"), F.col(reference).alias("reference"), F.col(prediction).alias("prediction"), F.struct(*measures).alias("metrics"))
+    some = worst(classified, id_col, k).groupBy("category", "tag").agg(F.array_sort(F.collect_list(shown)).alias("examples"))
+    n = classified.groupBy("category").agg(F.count("*").alias("n"))
+    why, fix = (F.create_map(*[F.lit(x) for x in pairs])[F.col("category")] for pairs in ([y for (a, _, _), w in zip(CLASSES, WHY) for y in (a, w)], [y for a, _, f in CLASSES for y in (a, f)]))
+    return some.join(n, "category").select("category", "tag", "n", why.alias("why"), fix.alias("fix"), "examples")
+
+
 def top_fixes(classified: DataFrame, id_col: str, k: int = 5) -> DataFrame:
     """The k largest classes (ties by first id) with what helps against them."""
     fixes = F.create_map(*[F.lit(x) for a, _, f in CLASSES for x in (a, f)])

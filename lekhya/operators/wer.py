@@ -10,22 +10,21 @@ from pyspark.sql import functions as F
 
 from lekhya.functions.text import counted, once
 
-#: Characters that stand for the distinct tokens of a pair.
-ALPHABET = "".join(map(chr, range(0x3400, 0xA000)))
+#: Code points before those that stand for the distinct tokens of a pair: all beyond the first plane, a million.
+FIRST = 0xFFFF
 
 
 def token_distance(a: Column, b: Column) -> Column:
     """Edit distance of two token arrays: each distinct token of the pair becomes one character, then levenshtein.
 
-    Raises beyond 27 000 distinct tokens in a pair."""
-    alphabet = F.lit(ALPHABET)
+    Characters are made from their numbers as UTF-32, so a pair may have over a million distinct tokens."""
 
     def distance(x: Column, y: Column, vocabulary: Column) -> Column:
         def encode(tokens: Column) -> Column:
-            return F.array_join(F.transform(tokens, lambda t: F.substr(alphabet, F.array_position(vocabulary, t).cast("int"), F.lit(1))), "")
+            codes = F.transform(tokens, lambda t: F.lpad(F.hex(F.array_position(vocabulary, t) + FIRST), 8, "0"))
+            return F.decode(F.unhex(F.array_join(codes, "")), "UTF-32")
 
-        too_many = F.raise_error(F.lit("too many distinct tokens in one pair")).cast("int")
-        return F.when(F.size(vocabulary) > len(ALPHABET), too_many).otherwise(F.levenshtein(encode(x), encode(y)))
+        return F.levenshtein(encode(x), encode(y))
 
     return once(lambda x, y: once(distance, x, y, F.array_distinct(F.concat(x, y))), a, b)
 

@@ -141,6 +141,13 @@ def scan_error_samples(spark: SparkSession, d: str) -> DataFrame:
     return io.error_samples(table(spark, d, FINAL).select("example_id", listed.alias("value")))
 
 
+@query(f"select row_idx, segment_url audio_path, reference as text from (select * from {TASK} order by row_idx limit 300) where segment_url <> '' and reference <> ''")
+def scan_eval_records(spark: SparkSession, d: str) -> DataFrame:
+    """Records with audio of their own; the bytes of the reference stand in for it."""
+    audio = F.struct(F.col("segment_url").alias("path"), F.encode("reference", "UTF-8").alias("bytes")).alias("audio")
+    return io.eval_records(table(spark, d, TASK).select("row_idx", audio, F.col("reference").alias("transcription")), "row_idx", most=300).select("row_idx", "audio_path", "text")
+
+
 # --- text ---------------------------------------------------------------------------------------------------------
 
 
@@ -499,6 +506,12 @@ def taxonomy_top_fixes(spark: SparkSession, d: str) -> DataFrame:
     return taxonomy.top_fixes(_classified(spark, d), "example_id")
 
 
+@query(_CLASSES + f", rk as ({_RANKED}) select category, any_value(tag) tag, any_value(class_size) n, string_agg(example_id::varchar || ':' || token_edit_distance, ' ' order by rank) examples from rk join (select example_id, tag, token_edit_distance from fin) using (example_id) where rank <= 10 group by category")
+def taxonomy_structured(spark: SparkSession, d: str) -> DataFrame:
+    shown = F.transform("examples", lambda e: F.concat_ws(":", e["index"].cast("string"), e["metrics"]["token_edit_distance"].cast("string")))
+    return taxonomy.structured(_classified(spark, d), "example_id").select("category", "tag", "n", F.array_join(shown, " ").alias("examples"))
+
+
 @query()
 def taxonomy_demo(spark: SparkSession, d: str) -> DataFrame:
     return taxonomy.demo(_classified(spark, d), "example_id")
@@ -523,8 +536,8 @@ def sample_strata(spark: SparkSession, d: str) -> DataFrame:
 
 
 _KEY_OF = "md5({0}::varchar || ':42')"
-_QUOTA = f"""with t as (select doc_id, n_chars, {_KEY_OF.format('doc_id')} h, row_number() over (order by n_chars, doc_id) rn, count(*) over () n from {DOCS} where n_chars is not null),
- s as (select *, least(3, (rn - 1) * 4 // n)::int stratum from t), c as (select stratum, count(*) k, any_value(n) n from s group by 1),
+_QUOTA_OF = f"""u as (select *, {_KEY_OF.format('doc_id')} h, row_number() over (order by n_chars, doc_id) rn, count(*) over () n from src),
+ s as (select *, least(3, (rn - 1) * 4 // n)::int stratum from u), c as (select stratum, count(*) k, any_value(n) n from s group by 1),
  -- quotas one stratum after the other: its share, at least one, leaving one for each later stratum
  q0 as (select k, n, least(k, greatest(1, 500 - 3), greatest(1, round_even(500 * k / n, 0))) take from c where stratum = 0),
  q1 as (select c.k, least(c.k, greatest(1, 500 - q0.take - 2), greatest(1, round_even(500 * c.k / c.n, 0))) take from c, q0 where stratum = 1),
@@ -532,6 +545,7 @@ _QUOTA = f"""with t as (select doc_id, n_chars, {_KEY_OF.format('doc_id')} h, ro
  q3 as (select c.k, least(c.k, greatest(1, 500 - q0.take - q1.take - q2.take), greatest(1, round_even(500 * c.k / c.n, 0))) take from c, q0, q1, q2 where stratum = 3),
  q as (select 0 stratum, take from q0 union all select 1, take from q1 union all select 2, take from q2 union all select 3, take from q3),
  r as (select s.*, take, row_number() over (partition by s.stratum order by h, doc_id) r from s join q using (stratum))"""
+_QUOTA = f"with src as (select doc_id, n_chars from {DOCS} where n_chars is not null), {_QUOTA_OF}"
 
 
 @query(_QUOTA + " select doc_id, n_chars, case when n <= 500 then null else stratum end stratum from r order by n > 500 and r <= take desc, h, doc_id limit 500")
@@ -549,6 +563,26 @@ def sample_split(spark: SparkSession, d: str) -> DataFrame:
     return sampling.split(table(spark, d, TASK).select("row_idx"), "row_idx")
 
 
+@query(f"select example_id, before from {FINAL} order by example_id limit 100")
+def sample_head(spark: SparkSession, d: str) -> DataFrame:
+    return sampling.head(table(spark, d, FINAL).select("example_id", "before"), "example_id")
+
+
+@query(f"select (row_number() over (order by example_id) - 1) // 8 batch, example_id from {FINAL}")
+def sample_batches(spark: SparkSession, d: str) -> DataFrame:
+    return sampling.batches(table(spark, d, FINAL).select("example_id"), "example_id")
+
+
+@query(_GATE + " select row_idx, normalized_text from g where drop_reason is null order by row_idx limit 200")
+def quality_first_valid(spark: SparkSession, d: str) -> DataFrame:
+    return quality.first_valid(_gated(spark, d), "row_idx").select("row_idx", "normalized_text")
+
+
+@query(_GATE + f", src as (select row_idx doc_id, len(normalized_text) n_chars, normalized_text from g where drop_reason is null), {_QUOTA_OF} select doc_id row_idx, printf('segment_%06d.wav', doc_id) audio_path, normalized_text as text from r order by n > 500 and r <= take desc, h, doc_id limit 500")
+def training_set(spark: SparkSession, d: str) -> DataFrame:
+    return quality.training_set(_gated(spark, d), "row_idx", 500)
+
+
 # --- spelling -----------------------------------------------------------------------------------------------------
 
 
@@ -738,6 +772,25 @@ def audit_failures(spark: SparkSession, d: str) -> DataFrame:
     return spelling.failures(_reviewed(spark, d).withColumn("note", F.lit(None).cast("string")), "sample_id", predicted="label", manual="manual", note="note")
 
 
+@query(_AUDIT + f""", f as (select *, {_KIND} kind from r where label <> manual), g as (select kind, count(*) over (partition by kind) n, row_number() over (partition by kind order by sample_id) rk, word from f),
+ w(kind, why) as (values {", ".join(f"({_q(a)}, {_q(b)})" for a, b in spelling.WHY)})
+ select kind, n, why, string_agg(coalesce(word, '?'), '|' order by rk) words from g join w using (kind) where rk <= 5 group by kind, n, why order by n desc, kind limit 2""")
+def audit_unreliable(spark: SparkSession, d: str) -> DataFrame:
+    found = spelling.unreliable(audit_failures(spark, d))
+    return found.withColumn("words", F.array_join("words", "|", "?"))
+
+
+@query(_AUDIT + """, a as (select round_even(count(*) filter (label = manual) / count(*), 4) accuracy from r)
+ select accuracy, case when accuracy >= 0.75 then 'reasonably_useful' when accuracy >= 0.5 then 'ambiguous' else 'unreliable' end code from a""")
+def audit_takeaway(spark: SparkSession, d: str) -> DataFrame:
+    return audit_summary(spark, d).select("accuracy", spelling.takeaway(F.col("accuracy"))["code"].alias("code"))
+
+
+@query(f"select (case label when 'correct_spelling' then 0 when 'incorrect_spelling' then 1 else 2 end * 4 + case confidence when 'high' then 0 when 'medium' then 1 when 'low' then 2 else 3 end)::int place, label, confidence, count(*) n from {Q3} group by all")
+def spelling_ordered_counts(spark: SparkSession, d: str) -> DataFrame:
+    return spelling.ordered_counts(table(spark, d, Q3))
+
+
 # --- lattice ------------------------------------------------------------------------------------------------------
 
 
@@ -777,6 +830,11 @@ def lattice_improved(spark: SparkSession, d: str) -> DataFrame:
     return lattice.improved_cases(lattice.model_scores(_lattices(spark, d)))
 
 
+@query()
+def lattice_improved_counts(spark: SparkSession, d: str) -> DataFrame:
+    return lattice.improved_counts(lattice.model_scores(_lattices(spark, d)))
+
+
 @query()
 def lattice_long(spark: SparkSession, d: str) -> DataFrame:
     """Rates as one row per model and kind, for plotting."""

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
 from collections.abc import Callable
 from pathlib import Path
 
@@ -17,22 +16,57 @@ SEGMENTS = "array<struct<start:double,end:double,text:string>>"
 NULL_WORDS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 
 
-def first_existing(*paths: str) -> str:
-    """The first path that exists; an error if none does."""
+def exists(spark: SparkSession, pattern: str) -> bool:
+    """Whether files match, on whatever file system the path names."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    return found is not None and len(found) > 0
+
+
+def first_existing(spark: SparkSession, *paths: str) -> str:
+    """The first path or pattern that has files; an error if none has."""
     for p in paths:
-        if os.path.exists(p):
+        if exists(spark, p):
             return p
     raise FileNotFoundError(", ".join(paths))
 
 
+def read_split(spark: SparkSession, *patterns: str) -> DataFrame:
+    """A parquet table from the first pattern that has files, e.g. the folder of a split, else its single file."""
+    return spark.read.parquet(first_existing(spark, *patterns))
+
+
+def eval_records(df: DataFrame, index: str, audio: str = "audio", text: str = "transcription", most: int | None = None, files: DataFrame | None = None) -> DataFrame:
+    """index, audio_path, audio_bytes, text of the first rows that have audio: bytes of their own, or a path that is
+    among the files (column path). Rows without a path are left out."""
+    rows = df.select(index, F.col(f"{audio}.path").alias("audio_path"), F.col(f"{audio}.bytes").alias("audio_bytes"), F.col(text).alias("text"))
+    if most is not None:
+        rows = rows.orderBy(index).limit(most)
+    rows = rows.where("audio_path <> ''")
+    held = F.coalesce(F.length("audio_bytes") > 0, F.lit(False))
+    if files is None:
+        return rows.where(held)
+    listed = files.select(F.col("path").alias("audio_path")).distinct().withColumn("listed", F.lit(True))
+    return rows.join(listed, "audio_path", "left").where(held | F.col("listed")).select(index, "audio_path", "audio_bytes", "text")
+
+
+def write_training_set(df: DataFrame, path: str) -> None:
+    """Rows (audio_path, text) as parquet; an error if there are none."""
+    if df.isEmpty():
+        raise ValueError("no training rows")
+    df.write.mode("overwrite").parquet(path)
+
+
 def stripped(df: DataFrame) -> DataFrame:
     """df with byte order mark and white space taken off its column names."""
     return df.toDF(*[c.replace(BOM, "").strip() for c in df.columns])
 
 
-def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """A CSV file with header, every column a string unless a schema is given; no inference pass over the data."""
-    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("encoding", "UTF-8")
+def read_csv(spark: SparkSession, path: str, schema: str | None = None, multi_line: bool = False) -> DataFrame:
+    """A CSV file with header, every column a string unless a schema is given; no inference pass over the data.
+
+    multi_line: values may hold line breaks; a file is then read by one task."""
+    reader = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"').option("encoding", "UTF-8")
     return stripped(reader.schema(schema).csv(path) if schema else reader.csv(path))
 
 
@@ -105,7 +139,9 @@ def write_json(rows: DataFrame | dict | list, path: str) -> None:
 
 
 def read_json(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
-    return spark.read.schema(schema).json(path, multiLine=os.path.isfile(path))
+    """JSON lines from a folder, or a file that holds one document."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return spark.read.schema(schema).json(path, multiLine=at.getFileSystem(spark._jsc.hadoopConfiguration()).isFile(at))
 
 
 def error_samples(df: DataFrame, value: str = "value") -> DataFrame:
@@ -123,7 +159,7 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 def artifact(spark: SparkSession, path: str, make: Callable[[], DataFrame], reuse: bool = True) -> DataFrame:
     """The rows kept under path, made and written first if they aren't there or reuse is off."""
-    if not (reuse and os.path.exists(os.path.join(path, "_SUCCESS"))):
+    if not (reuse and exists(spark, f"{path}/_SUCCESS")):
         make().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 

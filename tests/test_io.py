@@ -15,8 +15,8 @@ def test_manifest_and_urls(spark, tmp_path):
     with pytest.raises(ValueError):
         io.read_manifest(spark, "a.xlsx")
     with pytest.raises(FileNotFoundError):
-        io.first_existing(str(tmp_path / "no"))
-    assert io.first_existing(str(tmp_path / "no"), str(p)) == str(p)
+        io.first_existing(spark, str(tmp_path / "no"))
+    assert io.first_existing(spark, str(tmp_path / "no"), str(p)) == str(p)
 
 
 def test_pairs(spark, tmp_path):

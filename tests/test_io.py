@@ -37,7 +37,7 @@ def test_segments(spark):
 def test_words_and_tasks(spark):
     df = spark.createDataFrame([("a",), (None,), (" ",), ("NA",), ("a",)], "first string")
     assert [r["word"] for r in io.word_list(df).collect()] == ["a", "a"]
-    wide = spark.createDataFrame([(1, "s1", "r", "x", None)], ["row_idx", " Segment_URL", "Human ", "Model B", "Model A"]) if False else spark.createDataFrame([(1, "s1", "r", "x", None)], "row_idx int, `segment_url_link` string, `Human` string, `Model B` string, `Model A` string")
+    wide = spark.createDataFrame([(1, "s1", "r", "x", None)], "row_idx int, `segment_url_link` string, `Human` string, `Model B` string, `Model A` string")
     r = io.task_records(wide).first()
     assert r["utterance_id"] == "utt_0001" and [tuple(m) for m in r["model_outputs"]] == [("Model B", "x"), ("Model A", "")]
     with pytest.raises(ValueError):
@@ -70,3 +70,38 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [tuple(r)[1:] for r in spark.sql("select * from agg").collect()] == [(2, 3)]
+
+
+def test_late_rows_are_left_out(spark, tmp_path):
+    """A row that comes after the watermark has passed its window isn't counted; one within it is."""
+    folder = str(tmp_path / "in")
+
+    def put(*rows):
+        spark.createDataFrame(rows, "t string, p string, r string").withColumn("t", F.col("t").cast("timestamp")).coalesce(1).write.mode("append").parquet(folder)
+
+    put(("2025-01-01 10:00:00", "a b", "a c"))
+    agg = stream.windowed_wer(stream.read_stream(spark, folder), "t", "p", "r", window="1 day", late="1 day")
+    q = agg.writeStream.outputMode("append").format("memory").queryName("late").start()
+    q.processAllAvailable()
+    put(("2025-01-05 10:00:00", "a", "a"))
+    q.processAllAvailable()
+    put(("2025-01-01 12:00:00", "z z z", "a"), ("2025-01-04 23:00:00", "a b", "a"))
+    q.processAllAvailable()
+    put(("2025-01-09 10:00:00", "a", "a"))
+    q.processAllAvailable()
+    q.stop()
+    got = {str(r["start"])[:10]: (r["edits"], r["reference_tokens"]) for r in spark.sql("select * from late").collect()}
+    assert got == {"2025-01-01": (1, 2), "2025-01-04": (1, 1), "2025-01-05": (0, 1)}
+
+
+def test_eval_records(spark, tmp_path):
+    rows = [(1, ("a.wav", b"x"), "t1"), (2, ("b.wav", b""), "t2"), (3, (None, b"x"), "t3"), (4, ("c.wav", None), "t4"), (5, None, "t5"), (6, ("d.wav", b"x"), "t6")]
+    df = spark.createDataFrame(rows, "i int, audio struct<path:string,bytes:binary>, transcription string")
+    assert [r["i"] for r in io.eval_records(df, "i", most=5).collect()] == [1]
+    files = spark.createDataFrame([("c.wav",), ("c.wav",), ("e.wav",)], "path string")
+    assert sorted(r["i"] for r in io.eval_records(df, "i", files=files).collect()) == [1, 4, 6]
+    df.write.parquet(str(tmp_path / "legacy.parquet"))
+    assert io.read_split(spark, str(tmp_path / "split" / "*.parquet"), str(tmp_path / "legacy.parquet")).count() == 6
+    io.write_training_set(df.select("i"), str(tmp_path / "set"))
+    with pytest.raises(ValueError):
+        io.write_training_set(df.limit(0), str(tmp_path / "none"))

@@ -127,6 +127,12 @@ class Items:
         self.ends = [np.concatenate(([0], np.cumsum(size[a:b]))) for a, b in zip(cut, cut[1:])]
         by_item = np.searchsorted(item, np.arange(len(rows) + 1))  # q-grams stand in order of their items
         places = [pos[a:b] for a, b in zip(by_item, by_item[1:])]
+        self.pairs: list[dict[tuple[str, str], list[int]]] = []
+        for w in self.words:
+            own: dict[tuple[str, str], list[int]] = {}
+            for x, p in enumerate(zip(w, w[1:])):
+                own.setdefault(p, []).append(x)
+            self.pairs.append(own)
         self.need = np.array([self._need(k, p[few[a:b]]) for k, (p, a, b) in enumerate(zip(places, by_item, by_item[1:]))], dtype=np.int64)
         scarce = np.nonzero(self.need < 2)[0]
         weak = np.isin(item, scarce)  # too few rare q-grams: all of them are counted
@@ -209,7 +215,17 @@ class Items:
         joined = f" {' '.join(region)} "
         if any(f" {' '.join(item[x : x + least])} " in joined for x in range(len(item) - least + 1)):
             return True  # word for word
-        return stretch(item, region, ends[:-1], starts[a:b], lo - BAND, hi + BAND) >= least
+        # of the pairs of words in a shortest passage an edit breaks two, and so does other spacing
+        held: set[int] = set()
+        pairs = self.pairs[k]
+        for p in zip(region, region[1:]):
+            if p in pairs:
+                held.update(pairs[p])
+        if len(held) < least - 1 - 2 * (least // EDIT_PER) - 2:
+            return False
+        # what two words put in or dropped may shift
+        slack = 2 * max(int(np.diff(ends).max()), int(np.diff(starts[a:b]).max(initial=0)))
+        return stretch(item, region, ends[:-1], starts[a:b], lo - slack, hi + slack) >= least
 
 
 def stretch(item: list[str], words: list[str], at: np.ndarray, starts: np.ndarray, lo: int, hi: int) -> int:
@@ -217,42 +233,37 @@ def stretch(item: list[str], words: list[str], at: np.ndarray, starts: np.ndarra
 
     Word i of the item (begins at at[i]) may meet word j (begins at starts[j]) only where starts[j] - at[i] lies in
     lo..hi; what lies outside this band is never looked at."""
-    m, far = len(item), 10**9
-    first = np.searchsorted(starts, at + lo, "left") + 1
-    last = np.searchsorted(starts, at + hi, "right")
-    costs: list[list[int]] = [[]]
+    m, n, far = len(item), len(words), 10**9
+    first = np.searchsorted(starts, at + lo, "left").tolist()
+    last = np.searchsorted(starts, at + hi, "right").tolist()
+    above, row = [], [0] * (n + 1)  # the passage may start anywhere in the region
     steps: list[list[str]] = [[]]
-    base, top = [0, *first.tolist()], [0, *last.tolist()]
-
-    def cost(i: int, j: int) -> int:
-        if i == 0:
-            return 0  # the passage may start anywhere in the region
-        if j == 0:
-            return i
-        return costs[i][j - base[i]] if base[i] <= j <= top[i] else far
-
-    for i in range(1, m + 1):
-        w, row, how_row = item[i - 1], [], []
-        costs.append(row)
+    best, i, j = m + 1, 0, 0
+    for x in range(1, m + 1):
+        w = item[x - 1]
+        before, above, row = above, row, [far] * (n + 1)
+        row[0] = x
+        how_row = [""] * (n + 1)
         steps.append(how_row)
-        for j in range(base[i], top[i] + 1):
-            x = words[j - 1]
-            c, how = (cost(i - 1, j - 1), "=") if w == x else (cost(i - 1, j - 1) + 1, "x")
-            if (up := cost(i - 1, j) + 1) < c:
-                c, how = up, "-"
-            if (left := cost(i, j - 1) + 1 if j > base[i] or j == 1 else far) < c:
-                c, how = left, "+"
-            if j > 1 and len(w) > len(x) and w == words[j - 2] + x and cost(i - 1, j - 2) <= c:
-                c, how = cost(i - 1, j - 2), "2"
-            if i > 1 and len(x) > len(w) and x == item[i - 2] + w and cost(i - 2, j - 1) <= c:
-                c, how = cost(i - 2, j - 1), "1"
-            row.append(c)
-            how_row.append(how)
-    # a passage that ends before the item does leaves the band's last rows: the best end of any row will do
-    i, j = min(((i, j) for i in range(1, m + 1) for j in range(base[i], top[i] + 1)), key=lambda e: (cost(*e) + m - e[0], -e[0]), default=(0, 0))
+        for y in range(first[x - 1] + 1, last[x - 1] + 1):
+            v = words[y - 1]
+            c, how = (above[y - 1], "=") if w == v else (above[y - 1] + 1, "x")
+            if above[y] + 1 < c:
+                c, how = above[y] + 1, "-"
+            if row[y - 1] + 1 < c:
+                c, how = row[y - 1] + 1, "+"
+            if w != v:
+                if y > 1 and above[y - 2] <= c and len(w) > len(v) and w == words[y - 2] + v:
+                    c, how = above[y - 2], "2"
+                if x > 1 and before[y - 1] <= c and len(v) > len(w) and v == item[x - 2] + w:
+                    c, how = before[y - 1], "1"
+            row[y] = c
+            how_row[y] = how
+            # a passage may end before the item does: the best end of any row will do, of equal ones the last row's
+            if c + m - x < best or (c + m - x == best and x > i):
+                best, i, j = c + m - x, x, y
     path = []  # per item word: matched, edits before it
-    while i and j and base[i] <= j <= top[i]:
-        how = steps[i][j - base[i]]
+    while i and j and (how := steps[i][j]):
         if how in ("=", "2"):
             path.append("=")
             i, j = i - 1, j - (2 if how == "2" else 1)

@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,14 +37,18 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 
 
 def token_counts(docs: DataFrame, columns: list[str], text: str, vocabulary: str = VOCABULARY) -> DataFrame:
-    """The columns and n_tokens, the number of tokens of the text (null texts: 0)."""
+    """The columns and n_tokens, the number of tokens of the text (null texts: 0).
+
+    The vocabulary file is the driver's; it is sent to the executors with the job."""
     held: list = []
+    docs.sparkSession.sparkContext.addFile(vocabulary)
+    name = vocabulary.rstrip("/").rsplit("/", 1)[-1]
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if not held:
             import tiktoken
 
-            with open(vocabulary, "rb") as f:
+            with open(SparkFiles.get(name), "rb") as f:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
             held.append(tiktoken.Encoding("held", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}))
         encode = held[0].encode_ordinary

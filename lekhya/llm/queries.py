@@ -159,3 +159,22 @@ m as (select '{Q3}.word' source_field, term, occurrences, records,
 """
 SQL["p6_terms"] = _TERMS + "select source_field, term, occurrences, records, mark from m"
 SQL["p6_found"] = _TERMS + "select source_field, term, mark from m where mark is not null"
+
+
+def _repeated_sql(table: str, id_col: str, text: str) -> str:
+    """id, n (words), k (repeated ones) of every text with words: second copies of six words by self-comparison of
+    positions, loops by islands of words that equal the one a unit later."""
+    space = r"\s\v\x{1C}-\x{1F}\x{85}\p{Z}"
+    words = rf"list_filter(regexp_split_to_array(regexp_replace(lower({text}), '[^\p{{L}}\p{{N}}{space}\x{{900}}-\x{{963}}\x{{966}}-\x{{97F}}\x{{300}}-\x{{36F}}\x{{200C}}\x{{200D}}]', '', 'g'), '[{space}]+'), lambda x: x <> '')"
+    return f"""(with r as (select {id_col} id, {words} w from {table} where {text} is not null),
+      tk as (select id, i, w[i] t, len(w) n, w from (select id, w, unnest(range(1, len(w) + 1)) i from r)),
+      gr as (select id, i, min(i) over (partition by id, array_to_string(w[i:i + 5], chr(1))) f from tk where i + 5 <= n),
+      mt as (select id, i, u, n, coalesce(w[i + u] = t, false) and i + u <= n m from tk, (select unnest(range(1, 13)) u)),
+      st as (select *, lag(m, 1, false) over (partition by id, u order by i) before, min(case when not m then i end) over (partition by id, u order by i rows between current row and unbounded following) stop from mt),
+      lp as (select id, i + u a, (stop - i) // u * u len from st where m and not before and (stop - i) // u >= 2),
+      mk as (select distinct id, p from (select id, unnest(range(i, i + 6)) p from gr where i - f >= 6 union all select id, unnest(range(a, a + len)) p from lp)),
+      c as (select id, count(*) k from mk group by id)
+      select r.id, len(r.w) n, coalesce(k, 0) k from r left join c on c.id = r.id where len(r.w) > 0)"""
+
+
+SQL["p3_found"] = " union all ".join(f"select '{t}' source_table, id example_id from {_repeated_sql(t, 'example_id', c)} where k >= 0.4 * n" for t, c in ((FINAL, "before"), (Q2, "raw_prediction")))

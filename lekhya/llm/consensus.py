@@ -218,10 +218,10 @@ def reliabilities(slots: DataFrame, rounds: int = 2) -> tuple[list[tuple[str, fl
     by_chance, weights, shared, trust = chance(slots), {}, {}, []
     for k in range(rounds + 1):
         m = cut(agreement_matrix(agreements(slots, weights, shared), by_chance))
-        v = F.least(F.lit(0.9995), F.greatest(F.lit(0.01), F.col("v")))
-        rows = leading_eigenvector(m).select("a", v.alias("v")).limit(MAX_ANNOTATORS + 1).collect()
-        if len(rows) > MAX_ANNOTATORS:
+        if not k and m.select("a").distinct().limit(MAX_ANNOTATORS + 1).count() > MAX_ANNOTATORS:
             raise ValueError(f"more than {MAX_ANNOTATORS} annotators")
+        v = F.least(F.lit(0.9995), F.greatest(F.lit(0.01), F.col("v")))
+        rows = leading_eigenvector(m).select("a", v.alias("v")).collect()
         trust = sorted((r["a"], r["v"], max(0.05, math.log(r["v"] / (1 - r["v"])))) for r in rows)
         weights = {a: w for a, _, w in trust}
         skill = {a: v for a, v, _ in trust}
